@@ -103,14 +103,14 @@ def plan_shards(df: DataFrame, keys: Sequence[str], bins: int | None = None) ->
 def _place(df: DataFrame, keys: Sequence[str], plan: ShardPlan, spread: Column | None) -> DataFrame:
     """Add key text, shard and task. spread: what chooses among a key's shards; None copies rows to every shard.
 
-    The table of placed keys is bounded by ``bins / HEAVY_SHARE`` keys, whatever the data."""
+    The plan's tables are bounded by ``bins / HEAVY_SHARE`` keys and ``bins * SLICES`` slices, whatever the data."""
     spark = df.sparkSession
     schema = T.StructType([T.StructField(KEY, T.StringType()), T.StructField("__places", T.ArrayType(T.IntegerType()))])
     placed = spark.createDataFrame(list(plan.heavy.items()) or [], schema)
-    slot = F.pmod(F.xxhash64(KEY), F.lit(len(plan.light))).cast("int")
-    light = F.array(F.element_at(F.array(*[F.lit(b) for b in plan.light]), slot + 1))
+    slices = spark.createDataFrame(list(enumerate(plan.light)), "__slot int, __light int")
     out = df.withColumn(KEY, _text_key(keys)).join(F.broadcast(placed), KEY, "left")
-    out = out.withColumn("__places", F.coalesce("__places", light))
+    out = out.withColumn("__slot", F.pmod(F.xxhash64(KEY), F.lit(len(plan.light))).cast("int")).join(F.broadcast(slices), "__slot")
+    out = out.withColumn("__places", F.coalesce("__places", F.array("__light"))).drop("__slot", "__light")
     if spread is None:
         return out.select("*", F.posexplode("__places").alias(SHARD, BIN)).drop("__places")
     out = out.withColumn(SHARD, F.pmod(F.xxhash64(spread), F.size("__places")).cast("int"))
