@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.plans import general
+from pairloom.plans import general, reads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _part in (general,):
+for _part in (reads, general):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
