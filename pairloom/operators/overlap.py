@@ -9,13 +9,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.config import PipelineConfig
 from pairloom.functions import seq as S
 from pairloom.functions.kernels import align, common_substring
 from pairloom.operators.steps import once
 
-_LCS = "x int, y int, len int"
+# a type object, as a string would need a session on import
+_LCS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("x", "y", "len")])
 
 
 @F.pandas_udf(_LCS)

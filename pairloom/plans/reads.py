@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from pairloom.config import PipelineConfig
 from pairloom.functions import seq as S
@@ -167,7 +168,7 @@ def lcs_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ordinal", "s.x", "s.y", "s.len")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _subsequence(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(common_subsequence(x.tolist(), y.tolist()), index=x.index)
 
@@ -268,11 +269,11 @@ def primer_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def primer_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that begin two bases late, so that no primer is whole in them."""
     found = P.load(table(spark, sf_dir, "primers"))
-    window, options = P.forward_window(found), found.of("F", "fwd")
-    rows = clean(spark, sf_dir).withColumn("e", P.exact(window, options)).where("e is null")
-    rows = once(rows, {"w": window}).withColumn("a", P.approximate(options, PipelineConfig())("w"))
-    return rows.where("a.primer_id is not null").select("ordinal", "a.primer_id", "a.lcs")
+    rows = once(clean(spark, sf_dir), {"w": F.substring("seq", 17, 20)})
+    rows = rows.withColumn("a", P.approximate(found.of("F", "fwd"), PipelineConfig())("w"))
+    return once(rows, {"b": F.col("a")}).where("b.primer_id is not null").select("ordinal", "b.primer_id", "b.lcs")
 
 
 @query("WITH " + _CLEAN + "SELECT ordinal, left(seq, 14) AS fbarcode, right(seq, 12) AS rbarcode FROM clean")
@@ -312,20 +313,22 @@ rk AS (SELECT ordinal, substr(seq, k, 8) AS kmer FROM clean, unnest(range(35, le
 hit AS (SELECT ordinal, ref_id, strand, count(*) AS hits FROM rk JOIN ix USING (kmer) GROUP BY ALL),
 placed AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY hits DESC, ref_id, strand) = 1)
 """
-_INSERT = F.substring(F.col("seq"), F.lit(35), F.length("seq"))
+def _insert() -> Column:
+    """The read behind a barcode of 14 and a primer of 20 bases."""
+    return F.substring(F.col("seq"), F.lit(35), F.length("seq"))
 
 
 @query("WITH " + _PLACED + "SELECT ordinal, ref_id, strand, hits FROM placed")
 def orient_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference and strand of each first read behind its primer, by shared 8-mers."""
-    return R.place(clean(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), "ordinal", _INSERT)
+    return R.place(clean(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), "ordinal", _insert())
 
 
 def _ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads behind their primer beside the reference they belong to, position by position."""
     refs = R.references(table(spark, sf_dir, "refs"))
     reads = clean(spark, sf_dir).where(F.length("seq") > 34)
-    spots = R.place(reads, refs, "ordinal", _INSERT).where("strand = '+'").select("ordinal", "ref_id")
+    spots = R.place(reads, refs, "ordinal", _insert()).where("strand = '+'").select("ordinal", "ref_id")
     rows = reads.join(spots, "ordinal").join(F.broadcast(refs), "ref_id")
     n = F.least(F.length("seq") - 34, F.length("ref"))
     return rows.withColumns({"ref_aln": F.left(F.col("ref"), n), "read_aln": F.substring(F.col("seq"), F.lit(35), n), "qual": F.substring(F.col("qual"), F.lit(35), n)})
@@ -364,7 +367,7 @@ def correct_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = R.references(table(spark, sf_dir, "refs"))
-    reads = clean(spark, sf_dir).where(F.length("seq") > 34).withColumns({"seq": _INSERT, "qual": F.substring(F.col("qual"), F.lit(35), F.length("qual"))})
+    reads = clean(spark, sf_dir).where(F.length("seq") > 34).withColumns({"seq": _insert(), "qual": F.substring(F.col("qual"), F.lit(35), F.length("qual"))})
     rows = reads.join(R.place(reads, refs, "ordinal", F.col("seq")).where("strand = '+'").drop("hits", "strand"), "ordinal").join(F.broadcast(refs), "ref_id")
     # reads end before the reference does: it is cut to what they can reach
     return R.banded(rows.withColumn("ref", F.left(F.col("ref"), F.length("seq"))), PipelineConfig(mode="reference"))
@@ -481,7 +484,9 @@ def pipeline_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pipeline_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.guided(pairs(spark, sf_dir), _primers(spark, sf_dir), R.references(table(spark, sf_dir, "refs")))
+    """Reads here carry a joint behind the part that the reference covers, hence the wider ratio of lengths."""
+    config = PipelineConfig(mode="reference", length_ratio=1.5)
+    return pipelines.guided(pairs(spark, sf_dir), _primers(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), config)
 
 
 @query()
