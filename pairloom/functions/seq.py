@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,22 +84,36 @@ def log_error(q: Column) -> Column:
     return F.when(q == 0, F.lit(0.0)).otherwise(F.log10(F.pow(F.lit(10.0), -q / 10.0) / 3.0))
 
 
-def _merged(x: Column, y: Column, same: bool) -> Column:
-    # error chances on the scale 10 ** (-q / 12) reproduce the published merge tables
-    a = F.pow(F.lit(10.0), -F.greatest(x, y) / 12.0)
-    b = F.pow(F.lit(10.0), -F.least(x, y) / 12.0)
+def merge_rule(x: int, y: int, same: bool) -> int:
+    """Quality of a merged base. Error chances on the scale 10 ** (-q / 12) reproduce the published merge tables; a
+    quality of 0 leaves the other one as it is."""
+    if x == 0 or y == 0:
+        return x or y
+    a, b = 10 ** (-max(x, y) / 12), 10 ** (-min(x, y) / 12)
     p = a * b / ((1 - a) * (1 - b) + a * b) if same else a / (a + b - a * b)
-    return F.least(F.lit(MAX_QUALITY), F.floor(0.5 - 10 * F.log10(p)).cast("int"))
+    return min(MAX_QUALITY, math.floor(0.5 - 10 * math.log10(p)))
+
+
+@functools.cache
+def _merge_table(same: bool) -> str:
+    grid = range(MAX_QUALITY + 1)
+    return ",".join(str(merge_rule(x, y, same)) for x in grid for y in grid)
+
+
+def _merged(x: Column, y: Column, same: bool) -> Column:
+    # the optimizer folds the table into one literal array
+    table = F.split(F.lit(_merge_table(same)), ",").cast("array<int>")
+    return F.get(table, x * (MAX_QUALITY + 1) + y)
 
 
 def match_quality(x: Column, y: Column) -> Column:
-    """Quality of two equal bases; the other quality where one is 0."""
-    return F.when(x == 0, y).when(y == 0, x).otherwise(_merged(x, y, True))
+    """Quality (0 to 41) of two equal bases; the other quality where one is 0."""
+    return _merged(x, y, True)
 
 
 def mismatch_quality(x: Column, y: Column) -> Column:
-    """Quality of the better of two different bases; the other quality where one is 0."""
-    return F.when(x == 0, y).when(y == 0, x).otherwise(_merged(x, y, False))
+    """Quality (0 to 41) of the better of two different bases; the other quality where one is 0."""
+    return _merged(x, y, False)
 
 
 def probability_quality(p: Column) -> Column:

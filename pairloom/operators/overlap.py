@@ -118,7 +118,7 @@ def realign(pairs: DataFrame, config: PipelineConfig) -> DataFrame:
 def merged_bases(x: str = "wx", xq: str = "wxq", y: str = "wy", yq: str = "wyq") -> Column:
     """Array of structs ``b``, ``q`` of the merged overlap; a gap counts as N of quality 0. Null if any position has
     N in both reads."""
-    base = lambda c: F.transform(S.chars(c), lambda b: F.when(b == "-", F.lit("N")).otherwise(b))
+    base = lambda c: S.chars(F.translate(F.col(c), "-", "N"))
     left = F.zip_with(base(x), S.phred(xq), lambda b, q: F.struct(b.alias("b"), q.alias("q")))
     right = F.zip_with(base(y), S.phred(yq), lambda b, q: F.struct(b.alias("b"), q.alias("q")))
 
@@ -126,10 +126,11 @@ def merged_bases(x: str = "wx", xq: str = "wxq", y: str = "wy", yq: str = "wyq")
         bx, qx, by, qy = m["b"], m["q"], n["b"], n["q"]
         pick = lambda b, q: F.struct(b.alias("b"), q.alias("q"))
         return (
-            F.when(bx == "N", pick(by, qy)).when(by == "N", pick(bx, qx))
+            F.when(bx == "N", n).when(by == "N", m)
             .when(bx == by, pick(bx, S.match_quality(qx, qy)))
-            .when(qx == qy, pick(F.greatest(bx, by), qx))
-            .otherwise(pick(F.when(qx > qy, bx).otherwise(by), S.mismatch_quality(qx, qy)))
+            .when(qx > qy, pick(bx, S.mismatch_quality(qx, qy)))
+            .when(qx < qy, pick(by, S.mismatch_quality(qx, qy)))
+            .otherwise(pick(F.greatest(bx, by), qx))
         )
 
     hidden = F.zip_with(base(x), base(y), lambda a, b: (a == "N") & (b == "N"))

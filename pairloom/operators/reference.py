@@ -119,34 +119,44 @@ def cigar_counts(cigars: Column) -> Column:
     return F.struct(total("M").alias("m"), total("I").alias("i"), total("D").alias("d"), longest.alias("longest_m"))
 
 
-def _columns(ref: str, read: str, qual: str) -> Column:
-    """Aligned columns as structs: reference position (from 0), reference base, read base, quality (-1 at a deletion)."""
-    cells = F.zip_with(S.chars(ref), S.chars(read), lambda r, q: F.struct(r.alias("r"), q.alias("q")))
-    empty = F.array().cast("array<struct<pos:int,r:string,b:string,q:int>>")
-    start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("at"), empty.alias("out"))
+def _spread(aligned: DataFrame) -> DataFrame:
+    """Add ``qual_aln``: the qualities beside the gapped read, ``!`` at deletions. Reads without any keep theirs."""
+    step = lambda acc, c: F.when(
+        c == "-", F.struct(F.concat(acc["out"], F.lit("!")).alias("out"), acc["at"].alias("at"))
+    ).otherwise(F.struct(F.concat(acc["out"], F.substring(F.col("qual"), acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at")))
+    spread = F.aggregate(S.chars("read_aln"), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda acc: acc["out"])
+    return once(aligned, {"qual_aln": F.when(F.instr("read_aln", "-") > 0, spread).otherwise(F.col("qual"))})
+
+
+def _position(at: Column) -> Column:
+    """Reference position (from 0) of an aligned column: its place less the insertions before it."""
+    before = F.left(F.col("ref_aln"), at)
+    return F.when(F.instr("ref_aln", "-") == 0, at).otherwise(F.length(F.replace(before, F.lit("-"), F.lit(""))))
 
-    def step(acc: Column, c: Column) -> Column:
-        quality = F.when(c["q"] == "-", -1).otherwise(F.ascii(F.substring(F.col(qual), acc["at"], F.lit(1))) - 33)
-        cell = F.struct(acc["pos"].alias("pos"), c["r"].alias("r"), c["q"].alias("b"), quality.alias("q"))
-        return F.struct((acc["pos"] + (c["r"] != "-").cast("int")).alias("pos"), (acc["at"] + (c["q"] != "-").cast("int")).alias("at"), F.concat(acc["out"], F.array(cell)).alias("out"))
 
-    return F.aggregate(cells, start, step, lambda acc: acc["out"])
+def _cells() -> Column:
+    """Aligned columns as structs ``r``, ``b`` and ``q`` (a quality character)."""
+    return F.arrays_zip(S.chars("ref_aln").alias("r"), S.chars("read_aln").alias("b"), S.chars("qual_aln").alias("q"))
 
 
 def correct_base(aligned: DataFrame, least: int = 30) -> DataFrame:
     """``seq`` with N and aligned bases of a quality below ``least`` replaced by the reference's; insertions stay."""
-    fix = lambda c: F.when(c["r"] == "-", c["b"]).when((c["b"] == "N") | (c["q"] < least), c["r"]).otherwise(c["b"])
-    kept = F.filter(_columns("ref_aln", "read_aln", "qual"), lambda c: c["b"] != "-")
-    return once(aligned, {"seq": F.array_join(F.transform(kept, fix), "")})
+    low = chr(least + 33)
+    fix = lambda c: F.when((c["r"] == "-") | (c["b"] == "-"), c["b"]).when((c["b"] == "N") | (c["q"] < low), c["r"]).otherwise(c["b"])
+    fixed = F.translate(F.array_join(F.transform(_cells(), fix), ""), "-", "")
+    return once(_spread(aligned), {"seq": fixed}).drop("qual_aln")
 
 
 def position_stats(aligned: DataFrame, ref: str = "ref_id") -> DataFrame:
     """For each reference and position (from 0): ``n``, expected errors ``mu`` and their deviation ``sigma``, counts of
     the four bases. Only aligned bases count. Sums are combined before rows move."""
-    each = aligned.select(ref, F.explode(_columns("ref_aln", "read_aln", "qual")).alias("c")).where("c.r <> '-' and c.b <> '-'")
-    p = F.pow(F.lit(10.0), -F.col("c.q") / 10.0)
-    counts = [F.count_if(F.col("c.b") == b).alias(f"n_{b.lower()}") for b in "ACGT"]
-    return each.groupBy(ref, F.col("c.pos").alias("ref_pos")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("mu"), F.sqrt(F.sum(p * (1 - p))).alias("sigma"), *counts)
+    each = _spread(aligned).select(ref, "ref_aln", F.posexplode(_cells()).alias("at", "c")).where("c.r <> '-' and c.b <> '-'")
+    # first by quality as well: few groups for each position, and the powers are taken once for each
+    each = each.select(ref, _position(F.col("at")).alias("ref_pos"), F.col("c.b").alias("b"), (F.ascii("c.q") - 33).alias("q"))
+    each = each.groupBy(ref, "ref_pos", "b", "q").agg(F.count(F.lit(1)).alias("k"))
+    p = F.pow(F.lit(10.0), -F.col("q") / 10.0)
+    counts = [F.sum(F.when(F.col("b") == b, F.col("k")).otherwise(0)).alias(f"n_{b.lower()}") for b in "ACGT"]
+    return each.groupBy(ref, "ref_pos").agg(F.sum("k").alias("n"), F.sum(p * F.col("k")).alias("mu"), F.sqrt(F.sum(p * (1 - p) * F.col("k"))).alias("sigma"), *counts)
 
 
 def z_scores(stats: DataFrame) -> DataFrame:
@@ -164,14 +174,19 @@ def correct_zscore(aligned: DataFrame, ref: str = "ref_id", least: float = 1.645
     short array for a reference, joined to its reads: nothing is taken apart and put together again."""
     kept = F.concat(*[F.when(F.col(f"z_{b.lower()}") >= least, b).otherwise("") for b in "ACGT"])
     table = z_scores(position_stats(aligned, ref)).groupBy(ref).agg(F.map_from_entries(F.collect_list(F.struct("ref_pos", kept.alias("k")))).alias("kept"))
+    table = table.select(ref, F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("kept"))), lambda i: F.coalesce(F.col("kept")[i], F.lit(""))).alias("kept"))
     rows = aligned.join(table, ref, "left")
 
-    def fix(c: Column) -> Column:
-        rare = (c["r"] != "-") & (c["b"] != c["r"]) & F.instr(F.lit("ACGT"), c["b"]).cast("boolean") & (F.instr(F.col("kept")[c["pos"]], c["b"]) == 0)
-        return F.when(rare, c["r"]).otherwise(c["b"])
+    def fix(c: Column, at: Column) -> Column:
+        return (
+            F.when((c["r"] == c["b"]) | (c["r"] == "-") | (c["b"] == "-"), c["b"])
+            .when(F.instr(F.lit("ACGT"), c["b"]) == 0, c["b"])
+            .when(F.instr(F.get(F.col("kept"), _position(at)), c["b"]) > 0, c["b"])
+            .otherwise(c["r"])
+        )
 
-    cells = F.filter(_columns("ref_aln", "read_aln", "qual"), lambda c: c["b"] != "-")
-    return once(rows, {"seq": F.array_join(F.transform(cells, fix), "")}).drop("kept")
+    cells = F.arrays_zip(S.chars("ref_aln").alias("r"), S.chars("read_aln").alias("b"))
+    return once(rows, {"seq": F.translate(F.array_join(F.transform(cells, fix), ""), "-", "")}).drop("kept")
 
 
 def reference_record(spark: SparkSession, ref: str, fastq: bool = False) -> DataFrame:
