@@ -12,22 +12,23 @@ from pyspark.sql import functions as F
 
 
 def letters(c: str | Column) -> Column:
-    """Only the ASCII letters, in upper case."""
-    return F.upper(F.regexp_replace(c, "[^A-Za-z]+", ""))
+    """Only the ASCII letters, in upper case; strings of nothing else, the usual case, are not rebuilt."""
+    text = F.col(c) if isinstance(c, str) else c
+    return F.upper(F.when(text.rlike(r"^[A-Za-z]*\z"), text).otherwise(F.regexp_replace(text, "[^A-Za-z]+", "")))
 
 
 def leaf(value: Column) -> Column:
-    return F.unhex(F.md5(value))
+    return F.md5(value)
 
 
 def unordered(digests: list[Column]) -> Column:
     """Digest of a node whose children have no order."""
-    return F.unhex(F.md5(F.array_join(F.sort_array(F.array(*[F.hex(d) for d in digests])), "/")))
+    return F.md5(F.array_join(F.sort_array(F.array(*digests)), "/"))
 
 
 def ordered(digests: list[Column]) -> Column:
     """Digest of a node whose children have an order."""
-    return F.unhex(F.md5(F.concat_ws("|", *[F.hex(d) for d in digests])))
+    return F.md5(F.concat_ws("|", *digests))
 
 
 def canonical(reads: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def canonical(reads: DataFrame) -> DataFrame:
     a null read are left out."""
     rows = reads.select("ordinal", letters("readseq_first").alias("x"), letters("readseq_second").alias("y")).where("x is not null and y is not null")
     rows = rows.select("ordinal", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return rows.select("ordinal", unordered([leaf(F.col("a")), leaf(F.col("b"))]).alias("root"), "a", "b")
+    return rows.select("ordinal", F.unhex(unordered([leaf(F.col("a")), leaf(F.col("b"))])).alias("root"), "a", "b")
 
 
 def groups(reads: DataFrame) -> DataFrame:
