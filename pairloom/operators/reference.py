@@ -33,16 +33,20 @@ def kmer_hits(reads: DataFrame, refs: DataFrame, key: str, part: Column, k: int
     size = refs.agg(F.sum(F.length("ref"))).head()[0] or 0
     if size <= MAX_REFERENCE:
         index = F.broadcast(index)
-    mers = reads.select(key, F.explode(S.kmers(part, k)).alias("kmer"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("s") - k + 1)).alias("i")
+    mers = reads.select(key, part.alias("s")).where(F.length("s") >= k).select(key, "s", starts).select(key, F.substring("s", F.col("i"), F.lit(k)).alias("kmer"))
     return mers.join(index, "kmer").groupBy(key, "ref_id", "strand").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def place(reads: DataFrame, refs: DataFrame, key: str, part: Column, k: int = 8) -> DataFrame:
     """``key``, ``ref_id``, ``strand``, ``hits``: the reference with most hits on one strand, the lowest id among equals,
     forward before reverse; reads without hits are left out."""
-    best = F.max(F.struct("hits", (-F.col("ref_id")).alias("r"), F.when(F.col("strand") == "+", 1).otherwise(0).alias("s"))).alias("m")
-    found = kmer_hits(reads, refs, key, part, k).groupBy(key).agg(best)
-    return found.select(key, (-F.col("m.r")).alias("ref_id"), F.when(F.col("m.s") == 1, "+").otherwise("-").alias("strand"), F.col("m.hits").alias("hits"))
+    # hits, then the id downwards, then the strand, in one number, so that hash aggregation can keep the largest
+    top = 1 << 31
+    rank = F.col("hits") * F.lit(2 * top) + (F.lit(top - 1) - F.col("ref_id").cast("long")) * 2 + (F.col("strand") == "+").cast("long")
+    found = kmer_hits(reads, refs, key, part, k).groupBy(key).agg(F.max(rank).alias("m"))
+    ref_id = (F.lit(top - 1) - F.shiftright("m", 1).bitwiseAND(F.lit(top - 1).cast("long"))).cast("int").alias("ref_id")
+    return found.select(key, ref_id, F.when(F.col("m") % 2 == 1, "+").otherwise("-").alias("strand"), F.shiftright("m", 32).alias("hits"))
 
 
 def _global(gap: int, band: int) -> Column:
