@@ -103,7 +103,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part.slice(lo, 500) for part in batches for lo in range(0, part.num_rows, 500)):
         out: list[tuple] = []
         for key, text, places in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             seen = {(text[p : p + GRAM], text[max(0, p - SIDE) : p], text[p + GRAM : p + SPAN]) for p in places}
