@@ -62,7 +62,8 @@ def consensus(reads: DataFrame, keys: Sequence[str], title: str = "title", order
     taken = rows.join(modal, list(keys)).where(F.length("seq") == F.col("len"))
     pairs = F.arrays_zip(S.chars("seq").alias("b"), S.phred("qual").alias("q"))
     each = taken.select(*keys, "n", F.posexplode(pairs).alias("pos", "x")).select(*keys, "n", "pos", F.col("x.b").alias("b"), F.col("x.q").alias("q"))
-    sums = [F.sum(F.when(F.col("b") == x, S.log_quality(F.col("q"))).otherwise(S.log_error(F.col("q")))).alias(f"l_{x}") for x in BASES]
+    each = each.select(*keys, "n", "pos", "b", S.log_quality(F.col("q")).alias("right"), S.log_error(F.col("q")).alias("wrong"))
+    sums = [F.sum(F.when(F.col("b") == x, F.col("right")).otherwise(F.col("wrong"))).alias(f"l_{x}") for x in BASES]
     counts = [F.count_if(F.col("b") == x).alias(f"n_{x}") for x in BASES]
     cols = each.groupBy(*keys, "pos").agg(F.first("n").alias("n"), *sums, *counts)
 

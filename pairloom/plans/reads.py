@@ -22,7 +22,7 @@ from pairloom.operators import reference as R
 from pairloom.operators.steps import once
 from pairloom.plans import pipelines
 from pairloom.sources import sinks
-from pairloom.staging import table
+from pairloom.staging import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,10 +40,11 @@ def query(sql: str | None = None) -> Callable:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_pair as pairs of the pipelines, bases in upper case."""
-    return table(spark, sf_dir, "read_pair").select(
+    rows = table(spark, sf_dir, "read_pair").select(
         "ordinal", "job_id", F.col("read_name_first").alias("name1"), F.upper("readseq_first").alias("seq1"), F.col("quality_first").alias("qual1"),
         F.upper("readseq_second").alias("seq2"), F.col("quality_second").alias("qual2"),
     )
+    return spread(rows)
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("forward_primer").alias("vprimer"), F.col("reverse_primer").alias("cprimer"), F.col("forward_barcode").alias("fbarcode"), F.col("reverse_barcode").alias("rbarcode"),
     )
     ok = F.col("seq").rlike(r"^[ACGTN]+\z") & F.col("qual").rlike(r"^[!-J]+\z") & (F.length("seq") == F.length("qual"))
-    return rows.where(ok & F.col("name").isNotNull()).withColumn("title", S.display_name("name"))
+    return spread(rows).where(ok & F.col("name").isNotNull()).withColumn("title", S.display_name("name"))
 
 
 _CLEAN = """

@@ -37,6 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """A small table over all cores. A file of one row group is read by one task, however much work follows; below
+    ``least`` bytes a core moving the rows costs less than that. Larger tables are left as they are scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < least * cores else df
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of shuffle tasks the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
