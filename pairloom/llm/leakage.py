@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ class Space:
     least: np.ndarray
 
 
-def _pieces(ids: list[int]) -> list[list[int]]:
+def _pieces(ids: list[str]) -> list[list[str]]:
     step = PIECE - RUN + 1
     return [ids[i : i + PIECE] for i in range(0, max(1, len(ids) - RUN + 1), step)]
 
@@ -116,20 +117,17 @@ def randomised_svd(spark, pieces: list[list[int]], idf: np.ndarray, rank: int, s
     return basis @ turn.T
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str, str]], rank: int = RANK, text: str = "text") -> Space | None:
-    """The latent space of a block of items (id, passage, answer); None if no passage has RUN words."""
-    tokens = {i: words(p) for i, p, _ in items}
-    vocabulary = {w: n for n, w in enumerate(sorted({w for v in tokens.values() for w in v}))}
-    pieces, owner = [], []
-    for i, _, _ in items:
-        for p in _pieces([vocabulary[w] for w in tokens[i]]):
-            if len(p) >= RUN:
-                pieces.append(p)
-                owner.append(i)
-    if not pieces:
-        return None
-    if len(pieces) > PIECES:
-        raise ValueError(f"{len(pieces)} pieces in a block: take smaller blocks")
+def fit(docs: DataFrame, items: list[tuple[int, str, str]], rank: int = RANK, text: str = "text") -> Iterator[Space]:
+    """The latent spaces of a block of items (id, passage, answer): one for each PIECES pieces, so none if no passage
+    has RUN words, and several if passages are very long."""
+    cut = [(i, p, words(a)) for i, passage, a in items for p in _pieces(words(passage)) if len(p) >= RUN]
+    for lo in range(0, len(cut), PIECES):
+        yield _space(docs, cut[lo : lo + PIECES], rank, text)
+
+
+def _space(docs: DataFrame, cut: list[tuple[int, list[str], list[str]]], rank: int, text: str) -> Space:
+    vocabulary = {w: n for n, w in enumerate(sorted({w for _, p, _ in cut for w in p}))}
+    pieces = [[vocabulary[w] for w in p] for _, p, _ in cut]
     df, total = document_frequency(docs, vocabulary, text)
     idf = np.log((1 + total) / (1 + df)) + 1e-3  # positive, so that every shared word counts
     basis = randomised_svd(docs.sparkSession, pieces, idf, rank)
@@ -142,11 +140,11 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str]], rank: int = RANK, te
         least.append(runs.min() * (1 - 1e-4))
     vectors = np.zeros((len(vocabulary) + 1, basis.shape[1]), np.float32)
     vectors[:-1] = idf[:, None] * basis
-    answer = {i: words(a) for i, _, a in items}
     size = np.linalg.norm(dense, axis=1)
     gap = np.sqrt(np.maximum(0, size**2 - (inside**2).sum(axis=1)))
     gap[gap < 1e-6 * size] = 0
-    return Space(vocabulary, pieces, owner, [answer[i] for i in owner], vectors, np.append(idf**2, 0).astype(np.float32), inside.T.astype(np.float32), size, gap, np.array(least, np.float32))
+    norms2 = np.append(idf**2, 0).astype(np.float32)
+    return Space(vocabulary, pieces, [i for i, _, _ in cut], [a for _, _, a in cut], vectors, norms2, inside.T.astype(np.float32), size, gap, np.array(least, np.float32))
 
 
 def longest_run(x: np.ndarray, y: np.ndarray) -> int:
@@ -177,7 +175,7 @@ _SLICE = 1024
 
 def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s: Space = shared.value
+        s = SimpleNamespace(**shared.value)
         piece_ids = [np.array(p, np.int32) for p in s.pieces]
         get, other = s.vocabulary.get, len(s.vocabulary)
 
@@ -233,21 +231,22 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             for (d, item), (run, lcs, close, told, size) in best.items():
                 yield part[d][0], item, run, lcs, size, close, told
 
-        def rows() -> Iterator[tuple]:
+        def parts() -> Iterator[list[tuple[object, np.ndarray, list[str]]]]:
             part, size = [], 0
             for doc in documents():
                 part.append(doc)
                 size += len(doc[1])
                 if size > 100_000:
-                    yield from flush(part)
+                    yield part
                     part, size = [], 0
             if part:
-                yield from flush(part)
+                yield part
 
         names = ["doc_id", "item_id", "run", "lcs", "passage_words", "cosine", "answer"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
-        out = list(rows())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+        for part in parts():
+            out = list(flush(part))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     return search
 
@@ -259,21 +258,20 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK) -> DataFrame:
     ``paraphrase``.
 
     Verbatim rows are complete and exact. Null and empty texts and passages, and passages of fewer than RUN words,
-    match nothing. Items are taken in blocks of BLOCK (they are held-out material, a fixed set; each block is a pass
-    over the corpus), so what goes to every task is bounded. Repeated documents give a row each. No shuffle of texts.
+    match nothing; passages of any length are taken whole. Rows that share a ``doc_id`` count as one document, items
+    that share an ``item_id`` as one item with several passages. Items are taken in blocks of about BLOCK (they are
+    held-out material, a fixed set), and a block's pieces in groups of PIECES, each a pass over the corpus, so what
+    goes to every task is bounded. No shuffle of texts.
     """
     spark = docs.sparkSession
+    schema = "doc_id long, item_id long, run int, lcs int, passage_words int, cosine double, answer boolean"
     blocks = max(1, math.ceil(items.count() / (BLOCK * 0.8)))
-    out = None
+    texts, out = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null"), spark.createDataFrame([], schema)
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "passage", F.coalesce("answer", F.lit("")).alias("answer"))
-        space = fit(docs, [tuple(r) for r in mine.where("passage is not null").orderBy("item_id").collect()], rank)
-        if space is None:
-            continue
-        found = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(
-            _search(spark.sparkContext.broadcast(space)), "doc_id long, item_id long, run int, lcs int, passage_words int, cosine double, answer boolean"
-        )
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, run int, lcs int, passage_words int, cosine double, answer boolean, kind string")
-    return out.withColumn("kind", F.when(F.col("run") >= RUN, "verbatim").otherwise("paraphrase"))
+        for space in fit(docs, [tuple(r) for r in mine.where("passage is not null").orderBy("item_id", "passage").collect()], rank):
+            # plain values, so that tasks can read them wherever this package lies
+            out = out.unionByName(texts.mapInArrow(_search(spark.sparkContext.broadcast(vars(space))), schema))
+    cells = F.struct("run", "lcs", "cosine", "answer", "passage_words")
+    best = out.groupBy("doc_id", "item_id").agg(F.max(cells).alias("m")).select("doc_id", "item_id", *[f"m.{c}" for c in ("run", "lcs", "passage_words", "cosine", "answer")])
+    return best.withColumn("kind", F.when(F.col("run") >= RUN, "verbatim").otherwise("paraphrase"))

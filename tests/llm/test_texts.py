@@ -82,6 +82,19 @@ def test_paraphrase_and_answer(spark):
     assert rows[0].lcs >= 0.6 * len(w) and rows[0].run < 13
 
 
+def test_leaks_of_long_and_repeated(spark, monkeypatch):
+    """Passages of more pieces than one space holds; ids that several rows share; ids and answers that are null."""
+    monkeypatch.setattr(leakage, "PIECES", 3)
+    say = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    long = say("a", 400)
+    rows = [(1, long, None), (2, say("b", 20), "x"), (2, say("c", 20), "y"), (None, say("d", 20), "z"), (4, None, "n")]
+    items = spark.createDataFrame(rows, "item_id long, passage string, answer string")
+    texts = [" ".join(long.split()[40 * k : 40 * k + 13]) for k in range(9)] + [say("b", 14), "x " + say("c", 13), say("d", 15), say("e", 50), long + " " + say("b", 20)]
+    many = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id = 9"))
+    got = sorted((r.doc_id, r.item_id or -1) for r in leakage.leaks(many, items).where("kind = 'verbatim'").collect())
+    assert got == sorted([(k, 1) for k in range(9)] + [(9, 2), (10, 2), (11, -1), (13, 1), (13, 2)])
+
+
 def test_leaks_of_nothing(spark):
     items = spark.createDataFrame([], "item_id long, passage string, answer string")
     assert leakage.leaks(docs(spark, ["x"]), items).count() == 0
