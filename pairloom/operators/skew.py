@@ -9,6 +9,7 @@ of the keys that were split. The plan steers placement alone: whatever the estim
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Sequence
@@ -60,6 +61,10 @@ def _text_key(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *parts)
 
 
+def _null_key(keys: Sequence[str]) -> Column:
+    return functools.reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+
+
 def pack(loads: dict[str, int], total: int, bins: int) -> ShardPlan:
     """The plan for estimated ``loads`` of the most frequent keys among ``total`` rows."""
     mean = max(1.0, total / bins)
@@ -88,7 +93,7 @@ def pack(loads: dict[str, int], total: int, bins: int) -> ShardPlan:
 def plan_shards(df: DataFrame, keys: Sequence[str], bins: int | None = None) -> ShardPlan:
     """Estimate the load of the keys of ``df`` over all its rows and pack them. Rows with a null in a key count as
     rows but not as a key. The driver receives at most :data:`TRACKED` items."""
-    key = F.when(F.greatest(*[F.col(k).isNull() for k in [*keys, keys[0]]]), None).otherwise(_text_key(keys))
+    key = F.when(_null_key(keys), None).otherwise(_text_key(keys))
     found = df.select(key.alias(KEY)).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(KEY).alias("keyed"),
@@ -110,7 +115,10 @@ def _place(df: DataFrame, keys: Sequence[str], plan: ShardPlan, spread: Column |
     slices = spark.createDataFrame(list(enumerate(plan.light)), "__slot int, __light int")
     out = df.withColumn(KEY, _text_key(keys)).join(F.broadcast(placed), KEY, "left")
     out = out.withColumn("__slot", F.pmod(F.xxhash64(KEY), F.lit(len(plan.light))).cast("int")).join(F.broadcast(slices), "__slot")
-    out = out.withColumn("__places", F.coalesce("__places", F.array("__light"))).drop("__slot", "__light")
+    light = F.array("__light")
+    if spread is not None:  # rows with a null key match nothing, so they are spread instead of sharing one task
+        light = F.when(_null_key(keys), F.array(F.pmod(F.xxhash64(spread), F.lit(plan.bins)).cast("int"))).otherwise(light)
+    out = out.withColumn("__places", F.coalesce("__places", light)).drop("__slot", "__light")
     if spread is None:
         return out.select("*", F.posexplode("__places").alias(SHARD, BIN)).drop("__places")
     out = out.withColumn(SHARD, F.pmod(F.xxhash64(spread), F.size("__places")).cast("int"))
@@ -136,13 +144,17 @@ def per_key(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, str]]
 def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, how: str = "inner", plan: ShardPlan | None = None) -> DataFrame:
     """Join on ``keys`` with the large keys of ``left`` split into shards and the matching rows of ``right`` copied to
     those shards only. ``how``: ``inner``, ``left``, ``left_semi`` or ``left_anti``. Null keys match nothing, as in
-    SQL; ``left`` and ``left_anti`` keep such rows. Columns other than ``keys`` must not clash.
+    SQL; ``left`` and ``left_anti`` keep such rows. Columns of ``right`` other than ``keys`` that are in ``left`` too come
+    out with ``_right`` appended, as often as it takes to make them differ.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how={how!r} is not supported: rows of the right side are copied")
-    clash = (set(left.columns) & set(right.columns)) - set(keys)
-    if clash:
-        raise ValueError(f"rename columns that are on both sides: {sorted(clash)}")
+    taken = {c.lower() for c in [*left.columns, *keys]}
+    for c in [c for c in right.columns if c not in keys and c.lower() in taken]:
+        new = c
+        while new.lower() in taken | {x.lower() for x in right.columns}:
+            new += "_right"
+        right = right.withColumnRenamed(c, new)
     plan = plan or plan_shards(left, keys)
     a = _place(left, keys, plan, F.col(spread)).repartitionById(plan.bins, BIN)
     b = _place(right.dropna(subset=list(keys)), keys, plan, None).repartitionById(plan.bins, BIN)

@@ -58,6 +58,20 @@ def test_many_tasks_and_replicated_join(spark):
         skew.fragment_replicate_join(df, right, ["forward_barcode"], "ordinal", "full")
 
 
+def test_replicated_join_of_nulls_and_clashing_names(spark):
+    """Rows without a key are spread over the tasks; names on both sides are told apart."""
+    df = reads(spark, [(i, None if i % 3 else "k", None, "A") for i in range(3000)]).withColumn("v", F.lit("left")).withColumn("v_right", F.lit("l"))
+    right = spark.createDataFrame([("k", 1, "s")], "forward_barcode string, v int, Readseq_First string")
+    plan = skew.plan_shards(df, ["forward_barcode"], bins=8)
+    got = skew.fragment_replicate_join(df, right, ["forward_barcode"], "ordinal", "left", plan)
+    assert got.columns == [*df.columns, "v_right_right", "Readseq_First_right"]
+    assert got.where("v_right_right = 1").count() == 1000 and got.count() == 3000
+    bins = skew._place(df, ["forward_barcode"], plan, F.col("ordinal")).where("forward_barcode is null").groupBy(skew.BIN).count().collect()
+    assert len(bins) == 8 and max(r["count"] for r in bins) < 600
+    both = skew.plan_shards(df, ["forward_barcode", "reverse_barcode"], bins=4)
+    assert both.heavy == {} and both.total == 0
+
+
 def test_empty_keys(spark):
     empty = reads(spark, [])
     assert skew.barcode_keys(empty).count() == 0 and skew.heavy_barcodes(empty).count() == 0
