@@ -131,17 +131,22 @@ def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["seg_a", "seg_b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _long(docs: DataFrame) -> DataFrame:
+    """Documents with an id and at least SPAN characters; no others can share a span."""
+    return docs.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= SPAN)).select("doc_id", "text")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``rep`` of the documents with at least SPAN characters: documents with the same text have the same
     ``rep``, the smallest of their ids. Digests are combined before they move; the text itself is not shuffled."""
-    digest = docs.where(F.char_length("text") >= SPAN).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    digest = _long(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")).distinct()
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     return digest.join(first, "digest").select("doc_id", "rep")
 
 
 def _hits(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``doc_id``, ``places``: of one document of each class, the places whose shingle occurs in another class."""
-    texts = docs.where(F.char_length("text") >= SPAN).select("doc_id", "text")
+    texts = _long(docs)
     prints = stage(texts.mapInArrow(_prints, "doc_id long, print long, place int"), "prints")
     copies = members.where("doc_id <> rep").select("doc_id")
     own = prints.join(copies, "doc_id", "left_anti")
@@ -151,7 +156,7 @@ def _hits(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``a`` < ``b``: representatives of two classes of texts that share SPAN characters."""
-    texts = docs.where(F.char_length("text") >= SPAN).select("doc_id", "text")
+    texts = _long(docs)
     places = texts.join(_hits(docs, members), "doc_id").select("doc_id", "text", "places")
     found = places.mapInArrow(_segments, "doc_id long, gram binary, before string, after string")
     whole = F.concat_ws(":", F.hex("gram"), F.char_length("before").cast("string"), F.concat("before", "after"))
@@ -181,8 +186,9 @@ def linked_classes(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def shared_pairs(docs: DataFrame) -> DataFrame:
     """``doc_id_a`` < ``doc_id_b``: every pair of documents whose texts share a verbatim span of SPAN code points or
-    more. Null, empty and shorter texts share nothing; exact copies of a text of SPAN characters are pairs. Ids must
-    be unique. Other columns are not read; an empty table gives no rows. Nothing is dropped, however often a shingle
+    more. Null, empty and shorter texts share nothing; exact copies of a text of SPAN characters are pairs. Rows without
+    an id are left out, a repeated row counts once, and no id may stand at two different texts. Other columns are not
+    read; an empty table gives no rows. Nothing is dropped, however often a shingle
     occurs: places with the same shingle are compared pair by pair while they are few, and beyond that matched by the
     digests of all windows around them, which yields only pairs that are part of the result.
     """
@@ -225,7 +231,7 @@ def coverage(docs: DataFrame) -> DataFrame:
     (of SPAN or more) that another document holds too. Exact copies are shared whole. Windows of SPAN characters
     compare by two independent 64-bit hashes; no pairs are formed."""
     members = stage(classes(docs), "text_classes")
-    texts = docs.where(F.char_length("text") >= SPAN).select("doc_id", "text")
+    texts = _long(docs)
     places = texts.join(_hits(docs, members), "doc_id").select("doc_id", "text", "places")
     windows = stage(places.mapInArrow(_windows, "doc_id long, start int, h1 long, h2 long"), "windows")
     elsewhere = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2")
@@ -235,6 +241,6 @@ def coverage(docs: DataFrame) -> DataFrame:
     step = F.coalesce(F.col("start") - F.lag("start").over(w), F.lit(SPAN))
     part = windows.join(elsewhere, ["h1", "h2"]).select(F.col("doc_id").alias("rep"), "start").withColumn("more", F.least(step, F.lit(SPAN))).groupBy("rep").agg(F.sum("more").alias("part"))
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
-    chars = texts.select("doc_id", F.char_length("text").alias("n_chars"))
+    chars = texts.select("doc_id", F.char_length("text").alias("n_chars")).distinct()
     out = chars.join(members.join(sizes, "rep").join(part, "rep", "left"), "doc_id")
     return out.select("doc_id", "n_chars", F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("part", F.lit(0))).cast("long").alias("n_shared"))

@@ -169,6 +169,15 @@ def test_spans_of_nothing(spark):
         assert spans.shared_pairs(df).count() == 0
 
 
+def test_spans_of_repeated_rows_and_null_ids(spark):
+    a, b = "".join(map(str, range(300))), "".join(map(str, range(1000, 1200)))
+    rows = [(1, a + b, 5), (1, a + b, 5), (2, a, 5), (None, a, 5), (None, None, None), (3, b, 5), (3, b, 5), (4, a, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    assert sorted(tuple(r) for r in spans.shared_pairs(df).collect()) == [(1, 2), (1, 3), (1, 4), (2, 4)]
+    assert sorted(tuple(r) for r in spans.coverage(df).collect()) == [(1, 1590, 1590), (2, 790, 790), (3, 800, 800), (4, 790, 790)]
+    assert sorted((r.doc_id, r.class_id, r.cluster_id, r.n_links) for r in spans.clusters(df).collect()) == [(1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 1), (4, 2, 1, 1)]
+
+
 def test_positions_of_minima():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 9, 500).astype(np.uint64)
