@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import seq as S
+from pairloom.operators.steps import sealed, unsealed
 
 BASES = ("A", "T", "C", "G")
 #: Share of one base in a column of a group above which it is taken without comparing likelihoods.
@@ -49,12 +50,13 @@ def modal_length(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def consensus(reads: DataFrame, keys: Sequence[str], title: str = "title", order: str = "ordinal", least: int = 0, shortcut: bool = True) -> DataFrame:
     """One read for each group of ``keys``: ``seq``, ``qual``, ``conscount`` (reads of the modal length, which alone
-    take part) and ``title`` of the group's first read.
+    take part) and ``title`` of the group's first read. Rows with a null key are left out; among the keys ``job_id``
+    may be null, which is a group like any other.
 
     At each position a base with a share above CLEAR is taken, its chance the geometric mean of its reads'; else the
     base of the greatest posterior. Sums by position are combined before rows move; no group is gathered.
     """
-    rows = reads.select(*keys, F.col(title).alias("title"), F.col(order).alias("first_ordinal"), "seq", "qual").dropna(subset=list(keys))
+    rows = sealed(reads.select(*keys, F.col(title).alias("title"), F.col(order).alias("first_ordinal"), "seq", "qual")).dropna(subset=list(keys))
     first = rows.groupBy(*keys).agg(F.min_by("title", "first_ordinal").alias("title"), F.min("first_ordinal").alias("first_ordinal"))
     modal = modal_length(rows, keys)
     if least > 1:
@@ -79,7 +81,7 @@ def consensus(reads: DataFrame, keys: Sequence[str], title: str = "title", order
             chance = F.when(clear, F.pow(F.lit(10.0), F.col(f"l_{x}") / F.col(f"n_{x}"))).otherwise(chance)
     called = cols.select(*keys, "n", "pos", base.alias("b"), S.probability_quality(chance).alias("q"))
     text = called.groupBy(*keys).agg(_joined(F.struct("pos", F.col("b").alias("c"))).alias("seq"), _joined(F.struct("pos", S.phred_char(F.col("q")).alias("c"))).alias("qual"), F.first("n").alias("conscount"))
-    return text.join(first, list(keys))
+    return unsealed(text.join(first, list(keys)))
 
 
 def recollapse(consensuses: DataFrame, keys: Sequence[str], barcodes: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.config import PipelineConfig
 from pairloom.functions import seq as S
 from pairloom.functions.kernels import align
-from pairloom.operators.steps import once
+from pairloom.operators.steps import once, sealed, unsealed
 
 #: Most bases of all references together for which their k-mers are broadcast.
 MAX_REFERENCE = 20_000_000
@@ -151,16 +153,17 @@ def correct_base(aligned: DataFrame, least: int = 30) -> DataFrame:
     return once(_spread(aligned), {"seq": fixed}).drop("qual_aln")
 
 
-def position_stats(aligned: DataFrame, ref: str = "ref_id") -> DataFrame:
-    """For each reference and position (from 0): ``n``, expected errors ``mu`` and their deviation ``sigma``, counts of
+def position_stats(aligned: DataFrame, ref: str | Sequence[str] = "ref_id") -> DataFrame:
+    """For each reference (or job and reference) and position (from 0): ``n``, expected errors ``mu`` and their deviation ``sigma``, counts of
     the four bases. Only aligned bases count. Sums are combined before rows move."""
-    each = _spread(aligned).select(ref, "ref_aln", F.posexplode(_cells()).alias("at", "c")).where("c.r <> '-' and c.b <> '-'")
+    ref = [ref] if isinstance(ref, str) else list(ref)
+    each = _spread(aligned).select(*ref, "ref_aln", F.posexplode(_cells()).alias("at", "c")).where("c.r <> '-' and c.b <> '-'")
     # first by quality as well: few groups for each position, and the powers are taken once for each
-    each = each.select(ref, _position(F.col("at")).alias("ref_pos"), F.col("c.b").alias("b"), (F.ascii("c.q") - 33).alias("q"))
-    each = each.groupBy(ref, "ref_pos", "b", "q").agg(F.count(F.lit(1)).alias("k"))
+    each = each.select(*ref, _position(F.col("at")).alias("ref_pos"), F.col("c.b").alias("b"), (F.ascii("c.q") - 33).alias("q"))
+    each = each.groupBy(*ref, "ref_pos", "b", "q").agg(F.count(F.lit(1)).alias("k"))
     p = F.pow(F.lit(10.0), -F.col("q") / 10.0)
     counts = [F.sum(F.when(F.col("b") == b, F.col("k")).otherwise(0)).alias(f"n_{b.lower()}") for b in "ACGT"]
-    return each.groupBy(ref, "ref_pos").agg(F.sum("k").alias("n"), F.sum(p * F.col("k")).alias("mu"), F.sqrt(F.sum(p * (1 - p) * F.col("k"))).alias("sigma"), *counts)
+    return each.groupBy(*ref, "ref_pos").agg(F.sum("k").alias("n"), F.sum(p * F.col("k")).alias("mu"), F.sqrt(F.sum(p * (1 - p) * F.col("k"))).alias("sigma"), *counts)
 
 
 def z_scores(stats: DataFrame) -> DataFrame:
@@ -172,13 +175,15 @@ def z_scores(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"z_{b}": z(b) for b in "acgt"})
 
 
-def correct_zscore(aligned: DataFrame, ref: str = "ref_id", least: float = 1.645) -> DataFrame:
+def correct_zscore(aligned: DataFrame, ref: str | Sequence[str] = "ref_id", least: float = 1.645) -> DataFrame:
     """``seq`` with aligned bases that differ from the reference replaced by its base where they are no commoner at
     their position than errors explain. Bases other than ACGT stay. The kept bases of each reference position are one
     short array for a reference, joined to its reads: nothing is taken apart and put together again."""
+    ref = [ref] if isinstance(ref, str) else list(ref)
+    aligned = sealed(aligned)
     kept = F.concat(*[F.when(F.col(f"z_{b.lower()}") >= least, b).otherwise("") for b in "ACGT"])
-    table = z_scores(position_stats(aligned, ref)).groupBy(ref).agg(F.map_from_entries(F.collect_list(F.struct("ref_pos", kept.alias("k")))).alias("kept"))
-    table = table.select(ref, F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("kept"))), lambda i: F.coalesce(F.col("kept")[i], F.lit(""))).alias("kept"))
+    table = z_scores(position_stats(aligned, ref)).groupBy(*ref).agg(F.map_from_entries(F.collect_list(F.struct("ref_pos", kept.alias("k")))).alias("kept"))
+    table = table.select(*ref, F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("kept"))), lambda i: F.coalesce(F.col("kept")[i], F.lit(""))).alias("kept"))
     rows = aligned.join(table, ref, "left")
 
     def fix(c: Column, at: Column) -> Column:
@@ -190,7 +195,7 @@ def correct_zscore(aligned: DataFrame, ref: str = "ref_id", least: float = 1.645
         )
 
     cells = F.arrays_zip(S.chars("ref_aln").alias("r"), S.chars("read_aln").alias("b"))
-    return once(rows, {"seq": F.translate(F.array_join(F.transform(cells, fix), ""), "-", "")}).drop("kept")
+    return unsealed(once(rows, {"seq": F.translate(F.array_join(F.transform(cells, fix), ""), "-", "")}).drop("kept"))
 
 
 def reference_record(spark: SparkSession, ref: str, fastq: bool = False) -> DataFrame:

@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+JOB = "job_id"
+
+
+def sealed(df: DataFrame) -> DataFrame:
+    """The job as a string that is never null, so that joins find the rows without a job as well; without the column,
+    the table as it is."""
+    return df.withColumn(JOB, F.coalesce(F.concat(F.lit("="), JOB), F.lit(""))) if JOB in df.columns else df
+
+
+def unsealed(df: DataFrame) -> DataFrame:
+    """The job as it was before :func:`sealed`."""
+    return df.withColumn(JOB, F.when(F.col(JOB) != "", F.substring(F.col(JOB), F.lit(2), F.length(JOB)))) if JOB in df.columns else df
+
+
 def once(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
     """Add or replace columns that are computed once for a row, whatever refers to them later. A generator of one row
     keeps the optimizer from copying a long expression into every filter and projection above it."""

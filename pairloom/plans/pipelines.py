@@ -1,4 +1,8 @@
-"""The three pipelines: lazy plans from read pairs to collapsed reads."""
+"""The three pipelines: lazy plans from read pairs to collapsed reads.
+
+Each job is a run of its own: pairs with a ``job_id`` are collapsed, voted on and corrected within their job, and the
+rows returned carry it. Pairs with a null job are one job.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,17 @@ from pyspark.sql import functions as F
 from pairloom.config import PipelineConfig
 from pairloom.functions import seq as S
 from pairloom.operators import collapse, overlap, primers, reference
-from pairloom.operators.steps import once
+from pairloom.operators.steps import JOB, once, sealed, unsealed
 from pairloom.sources import sinks
 
 KEYS = ["vprimer", "cprimer"]
 BARCODE_KEYS = [*KEYS, "fbarcode", "rbarcode"]
 
 
+def _job(rows: DataFrame) -> list[str]:
+    return [JOB] if JOB in rows.columns else []
+
+
 def prepare(pairs: DataFrame, found: primers.Primers, config: PipelineConfig) -> DataFrame:
     """Pairs (``ordinal``, ``name1``, ``seq1``, ``qual1``, ``seq2``, ``qual2``) merged, turned, annotated and cut. Map
     only: runs on a stream as on a table."""
@@ -30,6 +38,7 @@ def prepare(pairs: DataFrame, found: primers.Primers, config: PipelineConfig) ->
 
 def _finish(rows: DataFrame, keys: list[str], config: PipelineConfig) -> DataFrame:
     rows = collapse.filter_quality(rows, config.mean_quality)
+    keys = [*_job(rows), *keys]
     if not config.barcoded:
         return collapse.collapse(rows, keys, least=config.min_dupcount)
     made = collapse.consensus(rows, [*keys, "fbarcode", "rbarcode"], least=config.min_conscount)
@@ -66,7 +75,7 @@ def guided(pairs: DataFrame, found: primers.Primers, refs: DataFrame, config: Pi
     elif config.base_quality is not None:
         rows = reference.correct_base(rows, config.base_quality)
     else:
-        rows = reference.correct_zscore(rows, least=config.z_threshold)
+        rows = reference.correct_zscore(rows, [*_job(rows), "ref_id"], least=config.z_threshold)
     return _finish(rows, [*KEYS, "ref_name", "cigar"], config)
 
 
@@ -88,12 +97,12 @@ def barcode_first(pairs: DataFrame, found: primers.Primers, config: PipelineConf
     other = {f"{c}{a}": F.when(swapped, F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}")) for c in ("seq", "qual") for a, b in (("1", "2"), ("2", "1"))}
     rows = once(rows, other | {"fid": F.when(swapped, F.col("sf")).otherwise(F.coalesce("fx", "fa.primer_id")), "rid": F.when(swapped, F.col("sr")).otherwise(F.coalesce("rx", "ra.primer_id"))})
     size = lambda c: F.create_map(*[F.lit(v) for p in found.all for v in (p.primer_id, p.barcode_len)])[F.col(c)]
-    rows = rows.select("ordinal", S.display_name("name1").alias("title"), F.left(F.col("seq1"), size("fid")).alias("fbarcode"), F.left(F.col("seq2"), size("rid")).alias("rbarcode"), "seq1", "qual1", "seq2", "qual2")
-    keys = ["fbarcode", "rbarcode"]
-    one = collapse.consensus(rows.withColumnsRenamed({"seq1": "seq", "qual1": "qual"}), keys, least=config.min_conscount, shortcut=False)
-    two = collapse.consensus(rows.withColumnsRenamed({"seq2": "seq", "qual2": "qual"}), keys, least=config.min_conscount, shortcut=False)
+    rows = rows.select(*_job(pairs), "ordinal", S.display_name("name1").alias("title"), F.left(F.col("seq1"), size("fid")).alias("fbarcode"), F.left(F.col("seq2"), size("rid")).alias("rbarcode"), "seq1", "qual1", "seq2", "qual2")
+    keys = [*_job(rows), "fbarcode", "rbarcode"]
+    one = sealed(collapse.consensus(rows.withColumnsRenamed({"seq1": "seq", "qual1": "qual"}), keys, least=config.min_conscount, shortcut=False))
+    two = sealed(collapse.consensus(rows.withColumnsRenamed({"seq2": "seq", "qual2": "qual"}), keys, least=config.min_conscount, shortcut=False))
     second = two.select(*keys, F.col("seq").alias("seq2"), F.col("qual").alias("qual2"), F.col("conscount"))
     sides = one.select(*keys, "title", "first_ordinal", F.col("seq").alias("seq1"), F.col("qual").alias("qual1")).join(second, keys)
     if config.compat:
-        sides = sides.drop("conscount").join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("conscount")), keys)
-    return overlap.merge_pairs(sides, config).select(*keys, "title", "first_ordinal", "seq", "qual", "conscount")
+        sides = sides.drop("conscount").join(sealed(rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("conscount")), keys)
+    return overlap.merge_pairs(unsealed(sides), config).select(*keys, "title", "first_ordinal", "seq", "qual", "conscount")

@@ -19,7 +19,7 @@ from pairloom.operators import collapse as C
 from pairloom.operators import overlap as O
 from pairloom.operators import primers as P
 from pairloom.operators import reference as R
-from pairloom.operators.steps import once
+from pairloom.operators.steps import JOB, once
 from pairloom.plans import pipelines
 from pairloom.sources import sinks
 from pairloom.staging import spread, table
@@ -50,7 +50,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First reads of ACGTN with legal qualities of their own length, and their stated primers and barcodes."""
     rows = table(spark, sf_dir, "read_pair").select(
-        "ordinal", F.col("read_name_first").alias("name"), F.upper("readseq_first").alias("seq"), F.col("quality_first").alias("qual"),
+        "ordinal", "job_id", F.col("read_name_first").alias("name"), F.upper("readseq_first").alias("seq"), F.col("quality_first").alias("qual"),
         F.col("forward_primer").alias("vprimer"), F.col("reverse_primer").alias("cprimer"), F.col("forward_barcode").alias("fbarcode"), F.col("reverse_barcode").alias("rbarcode"),
     )
     ok = F.col("seq").rlike(r"^[ACGTN]+\z") & F.col("qual").rlike(r"^[!-J]+\z") & (F.length("seq") == F.length("qual"))
@@ -494,6 +494,45 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("vprimer", "cprimer").agg(F.sum("dupcount").alias("reported"))
 
 
+# The queries above take all jobs as one. Each job is a run of its own: those below are the same within jobs.
+
+
+def _within_jobs(sql: str) -> str:
+    """SQL of a query above with the job among its keys; no job is a job as well, in joins too."""
+    keyed = sql.replace("vprimer, cprimer", "job_id, vprimer, cprimer")
+    job = keyed.replace("forward_barcode AS fbarcode", "coalesce('=' || job_id, '') AS job_id, forward_barcode AS fbarcode")
+    return f"SELECT * REPLACE (CASE WHEN job_id <> '' THEN substr(job_id, 2) END AS job_id) FROM ({job})"
+
+
+_JOB_KEYS = [JOB, *pipelines.KEYS]
+_JOB_BARCODE_KEYS = [JOB, *pipelines.BARCODE_KEYS]
+
+
+@query(_within_jobs(SQL["collapse"]))
+def collapse_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.collapse(_good(spark, sf_dir), _JOB_KEYS)
+
+
+@query(_within_jobs(SQL["modal_length"]))
+def modal_length_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.modal_length(_barcoded(spark, sf_dir), _JOB_BARCODE_KEYS)
+
+
+@query(_within_jobs(SQL["consensus"]))
+def consensus_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.consensus(_barcoded(spark, sf_dir), _JOB_BARCODE_KEYS)
+
+
+@query(_within_jobs(SQL["recollapse"]))
+def recollapse_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.recollapse(C.consensus(_barcoded(spark, sf_dir), _JOB_BARCODE_KEYS), _JOB_KEYS)
+
+
+@query(_within_jobs(SQL["totals"]))
+def totals_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.collapse(_good(spark, sf_dir), _JOB_KEYS).groupBy(*_JOB_KEYS).agg(F.sum("dupcount").alias("reported"))
+
+
 # pipelines ------------------------------------------------------------------------------------------------------------
 
 
@@ -526,5 +565,5 @@ def pipeline_barcode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def output_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of collapsed reads as FASTQ."""
-    return sinks.collapsed(C.collapse(_good(spark, sf_dir), ["vprimer", "cprimer"]), fastq=True)
+    """The lines of reads collapsed within their job, as FASTQ."""
+    return sinks.collapsed(C.collapse(_good(spark, sf_dir), _JOB_KEYS), fastq=True)

@@ -21,26 +21,31 @@ def title(barcode: bool = False) -> Column:
     return F.concat(*parts)
 
 
+def _job(rows: DataFrame) -> list[str]:
+    """Each job has its own output: its records carry it."""
+    return [c for c in ("job_id",) if c in rows.columns]
+
+
 def collapsed(rows: DataFrame, fastq: bool = False, compat: bool = False) -> DataFrame:
     head = F.concat("title", F.lit("|DUPCOUNT="), F.col("dupcount").cast("string"))
     if "cigar" in rows.columns:
         head = F.concat(head, F.lit("|CIGAR="), "cigar")
-    return rows.orderBy("first_ordinal").select(_record(head, fastq, compat).alias("value"))
+    return rows.orderBy("first_ordinal").select(*_job(rows), _record(head, fastq, compat).alias("value"))
 
 
 def consensus(rows: DataFrame, fastq: bool = False, compat: bool = False) -> DataFrame:
     head = F.concat("title", F.lit("|CONSCOUNT="), F.col("conscount").cast("string"))
-    return rows.orderBy("first_ordinal").select(_record(head, fastq, compat).alias("value"))
+    return rows.orderBy("first_ordinal").select(*_job(rows), _record(head, fastq, compat).alias("value"))
 
 
 def recollapsed(rows: DataFrame, fastq: bool = False) -> DataFrame:
     head = F.concat("title", F.lit("|DUPCOUNT="), F.col("dupcount").cast("string"), F.lit("|CONSCOUNT="), F.col("conscount").cast("string"))
-    return rows.orderBy("first_ordinal").select(_record(head, fastq, False).alias("value"))
+    return rows.orderBy("first_ordinal").select(*_job(rows), _record(head, fastq, False).alias("value"))
 
 
 def barcode_first(rows: DataFrame) -> DataFrame:
     head = F.concat("title", F.lit("|BARCODE="), "fbarcode", F.lit("_"), "rbarcode", F.lit("|CONSCOUNT="), F.col("conscount").cast("string"))
-    return rows.orderBy("first_ordinal").select(_record(head, True, True).alias("value"))
+    return rows.orderBy("first_ordinal").select(*_job(rows), _record(head, True, True).alias("value"))
 
 
 def sam_lines(records: DataFrame, refs: DataFrame) -> DataFrame:

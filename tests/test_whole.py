@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
+from pairloom.config import PipelineConfig
+from pairloom.operators import primers as P
 from pairloom.functions.seq import merge_rule
+from pairloom.plans import pipelines
 from pairloom.plans.catalogue import QUERIES
 
 READ_PAIR = (
@@ -92,3 +97,55 @@ def test_overlap_of_all_pairs(spark, tmp_path):
     assert got("overlap_identity_oriented") == {n: (v,) for n, v in same.items()}
     assert got("merge_bases_oriented") == merged
     assert got("stitch_oriented") == whole
+
+
+FP, RP = "AACGTTATAAACGATAGTGT", "TCAACCTAAAAGCAACAG"
+PRIMERS = (
+    [(1, "V1", FP, "F", "fwd", 14), (2, "V1", rc(FP), "F", "rc", 14), (3, "C1", RP, "R", "fwd", 12), (4, "C1", rc(RP), "R", "rc", 12)],
+    "primer_id int, primer_name string, seq string, primer_role string, orient string, barcode_len int",
+)
+
+
+def of_jobs(rng):
+    """Reads of the same primers and barcodes in three jobs (one of them null), with errors."""
+    insert, made = bases(rng, 70), []
+    t = "ACGTACGTACGTAC" + FP + insert + rc(RP) + rc("TTGGCCAATTGG")
+    for n in range(18):
+        x = list(t)
+        if n % 4 == 0:
+            x[60] = "ACGT"["CGTA".index(x[60])]
+        x, q = "".join(x), "".join(rng.choice("5?I") for _ in range(90))
+        made.append(row(n, x[:90], q, rc(x)[:90], q, (None, "a", "b")[n % 3], barcodes=("ACGTACGTACGTAC", "TTGGCCAATTGG")))
+    return made, insert
+
+
+def plain(rows, drop=("job_id",)):
+    return sorted(tuple(sorted((k, str(v)) for k, v in r.asDict().items() if k not in drop)) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["collapse", "modal_length", "consensus", "recollapse", "totals"])
+def test_groups_stay_within_jobs(spark, tmp_path, name):
+    """As if each job had been run alone."""
+    made, _ = of_jobs(random.Random(4))
+    got = QUERIES[f"{name}_by_job"](spark, folder(spark, tmp_path / "all", made, primers=PRIMERS)).collect()
+    for job in (None, "a", "b"):
+        alone = QUERIES[name](spark, folder(spark, tmp_path / str(job), [r for r in made if r[1] == job], primers=PRIMERS)).collect()
+        assert alone and plain([r for r in got if r.job_id == job]) == plain(alone)
+    assert {r.job_id for r in got} == {None, "a", "b"}
+
+
+def test_pipelines_stay_within_jobs(spark):
+    made, insert = of_jobs(random.Random(4))
+    df = spark.createDataFrame(made, READ_PAIR).selectExpr("ordinal", "job_id", "read_name_first name1", "readseq_first seq1", "quality_first qual1", "readseq_second seq2", "quality_second qual2")
+    found = P.load(spark.createDataFrame(*PRIMERS))
+    refs = spark.createDataFrame([(1, "r1", insert)], "ref_id int, ref_name string, ref string")
+    runs = {
+        "referenceless": lambda x: pipelines.referenceless(x, found), "consensus": lambda x: pipelines.referenceless(x, found, PipelineConfig(barcoded=True, dupcount=True)),
+        "reference": lambda x: pipelines.guided(x, found, refs), "barcode_first": lambda x: pipelines.barcode_first(x, found, PipelineConfig(mode="barcode_first", compat=True)),
+    }
+    for name, run in runs.items():
+        got = run(df).collect()
+        assert {r.job_id for r in got} == {None, "a", "b"}, name
+        for job in (None, "a", "b"):
+            alone = run(df.where(f"job_id <=> {repr(job) if job else 'null'}").drop("job_id")).collect()
+            assert plain([r for r in got if r.job_id == job]) == plain(alone), name
