@@ -299,9 +299,11 @@ def primer_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def primer_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that begin two bases late, so that no primer is whole in them."""
+    """The whole window of each read in which the exact search finds no primer, in either direction."""
     found = P.load(table(spark, sf_dir, "primers"))
-    rows = once(clean(spark, sf_dir), {"w": F.substring("seq", 17, 20)})
+    rows = once(clean(spark, sf_dir), {"w": P.forward_window(found), "bw": P.tail_window(found, "F")})
+    lost = P.exact(F.col("w"), found.of("F", "fwd")).isNull() & P.exact(F.col("bw"), found.of("F", "rc")).isNull()
+    rows = once(rows.where(lost), {"w": F.col("w")})
     rows = rows.withColumn("a", P.approximate(found.of("F", "fwd"), PipelineConfig())("w"))
     return once(rows, {"b": F.col("a")}).where("b.primer_id is not null").select("ordinal", "b.primer_id", "b.lcs")
 

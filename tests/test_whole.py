@@ -99,6 +99,7 @@ def test_overlap_of_all_pairs(spark, tmp_path):
     assert got("stitch_oriented") == whole
 
 
+INSERT = "CTTAACGGACCACTCTTCATATCTAATTGCGACAGTGGCTTCTGACACTGCAAGGCACGTACCGATGTGG"
 FP, RP = "AACGTTATAAACGATAGTGT", "TCAACCTAAAAGCAACAG"
 PRIMERS = (
     [(1, "V1", FP, "F", "fwd", 14), (2, "V1", rc(FP), "F", "rc", 14), (3, "C1", RP, "R", "fwd", 12), (4, "C1", rc(RP), "R", "rc", 12)],
@@ -149,3 +150,14 @@ def test_pipelines_stay_within_jobs(spark):
         for job in (None, "a", "b"):
             alone = run(df.where(f"job_id <=> {repr(job) if job else 'null'}").drop("job_id")).collect()
             assert plain([r for r in got if r.job_id == job]) == plain(alone), name
+
+
+def test_approximate_primers_in_the_whole_window(spark, tmp_path):
+    """Up to three substitutions of 20 bases leave more than 80 per cent; whole primers are the exact search's."""
+    made = []
+    for n, places in enumerate([(), (0,), (3, 14), (2, 9, 18), (2, 7, 12, 17)]):
+        p = "".join("ACGT"["TGCA".index(b)] if i in places else b for i, b in enumerate(FP))
+        seq = "ACGTACGTACGTAC" + p + INSERT
+        made.append(row(n, seq, "I" * len(seq), "ACGT", "IIII"))
+    got = {r.ordinal: r.primer_id for r in QUERIES["primer_approx"](spark, folder(spark, tmp_path, made, primers=PRIMERS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
