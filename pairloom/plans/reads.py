@@ -260,6 +260,15 @@ def stitch_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.stitch(_oriented(spark, sf_dir)).select("ordinal", "seq", "qual")
 
 
+@query()
+def quality_merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of qualities at all positions of all overlaps, and what the merge tables make of them."""
+    cells = F.arrays_zip(S.phred("wxq").alias("x"), S.phred("wyq").alias("y"))
+    each = _oriented(spark, sf_dir).select(F.explode(cells).alias("c")).select("c.x", "c.y")
+    seen = each.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return seen.select("x", "y", "n", S.match_quality(F.col("x"), F.col("y")).alias("same"), S.mismatch_quality(F.col("x"), F.col("y")).alias("other"))
+
+
 @query()
 def sw_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local realignment of overlaps with less than 95 % identity."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -68,7 +69,7 @@ def overlapping(rng):
 def test_overlap_of_all_pairs(spark, tmp_path):
     made = overlapping(random.Random(3))
     at = folder(spark, tmp_path, [row(*p) for p in made] + [row(90, None, None, "AC", "II"), row(91, "ACG", "II", "ACG", "III")])
-    windows, same, merged, whole = {}, {}, {}, {}
+    windows, same, merged, whole, seen = {}, {}, {}, {}, Counter()
     for n, one, q1, second, q2 in made:
         turned = lcs(one, rc(second)) if lcs(one, rc(second))[0] >= lcs(one, second)[0] else None
         two, qq = (rc(second), q2[::-1]) if turned else (second, q2)
@@ -77,6 +78,7 @@ def test_overlap_of_all_pairs(spark, tmp_path):
         a, b, k = i - sub, j - sub, sub + add
         windows[n] = (a, b, k)
         x, y = one[a : a + k], two[b : b + k]
+        seen.update((ord(u) - 33, ord(v) - 33) for u, v in zip(q1[a : a + k], qq[b : b + k]))
         same[n] = round(100 * sum(p == q for p, q in zip(x, y)) / k, 6)
         out = []
         for p, q, u, v in zip(x, y, q1[a : a + k], qq[b : b + k]):
@@ -97,6 +99,9 @@ def test_overlap_of_all_pairs(spark, tmp_path):
     assert got("overlap_identity_oriented") == {n: (v,) for n, v in same.items()}
     assert got("merge_bases_oriented") == merged
     assert got("stitch_oriented") == whole
+    table = QUERIES["quality_merge_overlap"](spark, at).collect()
+    assert {(r.x, r.y): (r.n, r.same, r.other) for r in table} == {v: (n, merge_rule(*v, True), merge_rule(*v, False)) for v, n in seen.items()}
+    assert len(table) == len(seen) > 100
 
 
 INSERT = "CTTAACGGACCACTCTTCATATCTAATTGCGACAGTGGCTTCTGACACTGCAAGGCACGTACCGATGTGG"
