@@ -51,6 +51,15 @@ def place(reads: DataFrame, refs: DataFrame, key: str, part: Column, k: int = 8)
     return found.select(key, ref_id, F.when(F.col("m") % 2 == 1, "+").otherwise("-").alias("strand"), F.shiftright("m", 32).alias("hits"))
 
 
+def diagonal(read: str, ref: str, k: int = 8) -> Column:
+    """Where in the reference (from 0, negative before it) a read begins by most of its k-mers, each at its first
+    place; the lowest among equals, 0 without any."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(read) - k + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.instr(F.col(ref), F.substring(F.col(read), i, F.lit(k))).alias("p")))
+    found = F.transform(F.filter(at, lambda x: x["p"] > 0), lambda x: x["p"] - x["i"])
+    most = F.array_max(F.transform(F.array_distinct(found), lambda v: F.struct(F.size(F.filter(found, lambda x: x == v)).alias("n"), (-v).alias("d"))))
+    return F.coalesce(-most["d"], F.lit(0))
+
+
 def _global(gap: int, band: int) -> Column:
     @F.pandas_udf("score int, ref_aln string, read_aln string")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -110,9 +119,10 @@ def _body(rows: DataFrame, config: PipelineConfig) -> DataFrame:
 
 
 def sam(aligned: DataFrame, name: str = "title") -> DataFrame:
-    """The eleven columns of a SAM record."""
+    """The eleven columns of a SAM record. With ``ref_start``, where in the reference (from 0) the alignment begins."""
+    pos = F.col("ref_start") + 1 if "ref_start" in aligned.columns else F.lit(1)
     return aligned.select(
-        F.col(name).alias("qname"), F.lit(0).alias("flag"), F.col("ref_name").alias("rname"), F.lit(1).alias("pos"), F.lit(255).alias("mapq"),
+        F.col(name).alias("qname"), F.lit(0).alias("flag"), F.col("ref_name").alias("rname"), pos.alias("pos"), F.lit(255).alias("mapq"),
         S.cigar("ref_aln", "read_aln").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), "seq", "qual",
     )
 

@@ -409,9 +409,18 @@ def correct_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = R.references(table(spark, sf_dir, "refs"))
     reads = clean(spark, sf_dir).where(F.length("seq") > 34).withColumns({"seq": _insert(), "qual": F.substring(F.col("qual"), F.lit(35), F.length("qual"))})
-    rows = reads.join(R.place(reads, refs, "ordinal", F.col("seq")).where("strand = '+'").drop("hits", "strand"), "ordinal").join(F.broadcast(refs), "ref_id")
-    # reads end before the reference does: it is cut to what they can reach
-    return R.banded(rows.withColumn("ref", F.left(F.col("ref"), F.length("seq"))), PipelineConfig(mode="reference"))
+    config = PipelineConfig(mode="reference")
+    rows = reads.join(R.place(reads, refs, "ordinal", F.col("seq")).drop("hits"), "ordinal").join(F.broadcast(refs), "ref_id")
+    back = F.col("strand") == "-"
+    rows = once(rows, {"seq": F.when(back, S.reverse_complement("seq")).otherwise(F.col("seq")), "qual": F.when(back, F.reverse("qual")).otherwise(F.col("qual"))})
+    # reads end before the reference does: it is cut to what they can reach, turned ones from where they begin
+    rows = once(rows, {"at": F.when(back, R.diagonal("seq", "ref", config.kmer)).otherwise(0), "whole": F.length("seq")})
+    lead = F.greatest(-F.col("at"), F.lit(0))
+    cut = {c: F.substring(F.col(c), lead + 1, F.col("whole")) for c in ("seq", "qual")}
+    rows = once(rows, cut | {"ref": F.substring(F.col("ref"), F.greatest("at", F.lit(0)) + 1, F.col("whole") - lead), "ref_start": F.greatest("at", F.lit(0))})
+    # the part of a turned read outside the reference counts for the ratio of lengths
+    rows = rows.where((F.col("strand") == "+") | (F.col("whole") <= F.length("ref") * config.length_ratio)).drop("at", "whole")
+    return R.banded(rows, config)
 
 
 @query()

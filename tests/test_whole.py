@@ -166,3 +166,23 @@ def test_approximate_primers_in_the_whole_window(spark, tmp_path):
         made.append(row(n, seq, "I" * len(seq), "ACGT", "IIII"))
     got = {r.ordinal: r.primer_id for r in QUERIES["primer_approx"](spark, folder(spark, tmp_path, made, primers=PRIMERS)).collect()}
     assert got == {1: 1, 2: 1, 3: 1}
+
+
+REF = INSERT + "GTACTCGGTTAGGCGGAGTTTGGTGGTCTT"
+REFS = ([(1, "r1 ", REF)], "ref_id int, ref_name string, seq string")
+AHEAD = "ACGTACGTACGTAC" + FP
+
+
+def test_reads_of_both_strands_are_aligned(spark, tmp_path):
+    """Turned reads of the end, the middle and the beginning of the reference, one with a base of its own."""
+    wrong = REF[20:50] + "ACGT"["CGTA".index(REF[50])] + REF[51:90]
+    parts = [(REF[:70], False, 0), (REF[30:], True, 30), (REF[20:90], True, 20), ("TTTT" + REF[:66], True, 0), (wrong, True, 20)]
+    made = [row(n, AHEAD + (rc(x) if turned else x), "I" * 34 + "5" * 70, "ACGT", "IIII") for n, (x, turned, _) in enumerate(parts)]
+    made.append(row(9, AHEAD + rc("ACCA" * 15 + REF[:10]), "I" * 104, "ACGT", "IIII"))
+    at = folder(spark, tmp_path, made, refs=REFS)
+    got = {r.ordinal: (r.ref_aln, r.read_aln, r.matches) for r in QUERIES["banded_nw"](spark, at).collect()}
+    want = {n: x[4:] if x.startswith("TTTT") else x for n, (x, _, _) in enumerate(parts)}
+    assert got == {n: (REF[s : s + len(x)], x, len(x) - (n == 4)) for (n, x), (_, _, s) in zip(want.items(), parts)}
+    assert {r.ordinal: r.cigar for r in QUERIES["cigar"](spark, at).collect()} == {n: f"{len(x)}M" for n, x in want.items()}
+    lines = [r.value.split("\t") for r in QUERIES["sam"](spark, at).where("part = 1").collect()]
+    assert sorted((int(v[3]), v[9], v[10]) for v in lines) == sorted((s + 1, x, "5" * len(x)) for x, (_, _, s) in zip(want.values(), parts))
