@@ -144,10 +144,15 @@ def _spread(aligned: DataFrame) -> DataFrame:
     return once(aligned, {"qual_aln": F.when(F.instr("read_aln", "-") > 0, spread).otherwise(F.col("qual"))})
 
 
-def _position(at: Column) -> Column:
-    """Reference position (from 0) of an aligned column: its place less the insertions before it."""
+def _position(at: Column, start: Column | int = 0) -> Column:
+    """Reference position (from 0) of an aligned column: its place less the insertions before it, from ``start``."""
     before = F.left(F.col("ref_aln"), at)
-    return F.when(F.instr("ref_aln", "-") == 0, at).otherwise(F.length(F.replace(before, F.lit("-"), F.lit(""))))
+    return F.lit(start) + F.when(F.instr("ref_aln", "-") == 0, at).otherwise(F.length(F.replace(before, F.lit("-"), F.lit(""))))
+
+
+def _start(aligned: DataFrame) -> Column:
+    """Where in the reference the alignments begin."""
+    return F.col("ref_start") if "ref_start" in aligned.columns else F.lit(0)
 
 
 def _cells() -> Column:
@@ -167,9 +172,9 @@ def position_stats(aligned: DataFrame, ref: str | Sequence[str] = "ref_id") -> D
     """For each reference (or job and reference) and position (from 0): ``n``, expected errors ``mu`` and their deviation ``sigma``, counts of
     the four bases. Only aligned bases count. Sums are combined before rows move."""
     ref = [ref] if isinstance(ref, str) else list(ref)
-    each = _spread(aligned).select(*ref, "ref_aln", F.posexplode(_cells()).alias("at", "c")).where("c.r <> '-' and c.b <> '-'")
+    each = _spread(aligned).select(*ref, "ref_aln", _start(aligned).alias("__start"), F.posexplode(_cells()).alias("at", "c")).where("c.r <> '-' and c.b <> '-'")
     # first by quality as well: few groups for each position, and the powers are taken once for each
-    each = each.select(*ref, _position(F.col("at")).alias("ref_pos"), F.col("c.b").alias("b"), (F.ascii("c.q") - 33).alias("q"))
+    each = each.select(*ref, _position(F.col("at"), F.col("__start")).alias("ref_pos"), F.col("c.b").alias("b"), (F.ascii("c.q") - 33).alias("q"))
     each = each.groupBy(*ref, "ref_pos", "b", "q").agg(F.count(F.lit(1)).alias("k"))
     p = F.pow(F.lit(10.0), -F.col("q") / 10.0)
     counts = [F.sum(F.when(F.col("b") == b, F.col("k")).otherwise(0)).alias(f"n_{b.lower()}") for b in "ACGT"]
@@ -200,7 +205,7 @@ def correct_zscore(aligned: DataFrame, ref: str | Sequence[str] = "ref_id", leas
         return (
             F.when((c["r"] == c["b"]) | (c["r"] == "-") | (c["b"] == "-"), c["b"])
             .when(F.instr(F.lit("ACGT"), c["b"]) == 0, c["b"])
-            .when(F.instr(F.get(F.col("kept"), _position(at)), c["b"]) > 0, c["b"])
+            .when(F.instr(F.get(F.col("kept"), _position(at, _start(rows))), c["b"]) > 0, c["b"])
             .otherwise(c["r"])
         )
 

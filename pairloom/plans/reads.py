@@ -439,6 +439,25 @@ def sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sam_lines(R.sam(_banded(spark, sf_dir)), R.references(table(spark, sf_dir, "refs")))
 
 
+# The SQL of position_stats, correct_base and correct_zscore can only follow reads set beside the reference without
+# gaps. Those below start from the alignment; errors are judged within job and reference.
+
+
+@query()
+def position_stats_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.position_stats(_banded(spark, sf_dir), [JOB, "ref_id"]).withColumns({"mu": F.round("mu", 5), "sigma": F.round("sigma", 5)})
+
+
+@query()
+def correct_base_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.correct_base(_banded(spark, sf_dir)).select("ordinal", "seq")
+
+
+@query()
+def correct_zscore_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.correct_zscore(_banded(spark, sf_dir), [JOB, "ref_id"]).select("ordinal", "seq")
+
+
 # aggregation ----------------------------------------------------------------------------------------------------------
 
 

@@ -186,3 +186,26 @@ def test_reads_of_both_strands_are_aligned(spark, tmp_path):
     assert {r.ordinal: r.cigar for r in QUERIES["cigar"](spark, at).collect()} == {n: f"{len(x)}M" for n, x in want.items()}
     lines = [r.value.split("\t") for r in QUERIES["sam"](spark, at).where("part = 1").collect()]
     assert sorted((int(v[3]), v[9], v[10]) for v in lines) == sorted((s + 1, x, "5" * len(x)) for x, (_, _, s) in zip(want.values(), parts))
+
+
+def test_corrections_start_from_the_alignment(spark, tmp_path):
+    """A deletion shifts nothing behind it, reads of both strands count, and each job has its own statistics."""
+    full, wrong = REF[:70], "ACGT"["CGTA".index(REF[60])]
+    lost, other = full[:30] + full[31:], full[:60] + wrong + full[61:]
+    made = [row(n, AHEAD + full, "I" * 104, "ACGT", "IIII", "a") for n in range(9)]
+    made += [row(20, AHEAD + lost, "I" * 103, "ACGT", "IIII", "a"), row(21, AHEAD + other, "I" * 94 + "#" + "I" * 9, "ACGT", "IIII", "a")]
+    made += [row(22, AHEAD + rc(REF[30:]), "I" * 104, "ACGT", "IIII", "a"), row(23, AHEAD + INSERT[::-1], "I" * 104, "ACGT", "IIII", "a")]
+    made += [row(30 + n, AHEAD + other, "I" * 104, "ACGT", "IIII", None) for n in range(5)]
+    at = folder(spark, tmp_path, made, refs=REFS)
+    stats = {(r.job_id, r.ref_pos): r for r in QUERIES["position_stats_aligned"](spark, at).collect()}
+    for p in range(100):
+        r = stats["a", p]
+        assert r.n == 11 * (p < 69) + 10 * (p == 69) - (p == 30) + (p >= 30) or p == 69, p
+        assert r[f"n_{REF[p].lower()}"] == r.n - (p == 60)
+    assert {p for j, p in stats if j is None} == set(range(70)) and stats[None, 60][f"n_{wrong.lower()}"] == 5
+    fixed = {r.ordinal: r.seq for r in QUERIES["correct_base_aligned"](spark, at).collect()}
+    assert fixed[20][:68] == lost[:68] and fixed[21] == full and fixed[22] == REF[30:] and fixed[30] == other and 23 not in fixed
+    fixed = {r.ordinal: r.seq for r in QUERIES["correct_zscore_aligned"](spark, at).collect()}
+    chances = [10 ** (-q / 10) for q in [40] * 11 + [2]]
+    z = (1 + 0.5 - sum(chances) / 3) / (sum(p * (1 - p) for p in chances) / 3) ** 0.5
+    assert fixed[20][:68] == lost[:68] and fixed[22] == REF[30:] and fixed[21] == (full if z < 1.645 else other) and fixed[30] == other
