@@ -28,7 +28,7 @@ RUN = 13
 PIECE = 40
 #: Items taken at a time; what is broadcast is bounded by BLOCK items, PIECES pieces and RANK dimensions.
 BLOCK, PIECES, RANK = 512, 1024, 1024
-#: A window with at least this cosine, and a common subsequence of this share of the passage, counts as a paraphrase.
+#: A window with at least this cosine (less for pieces longer than a window, by the root of the share it holds), and a common subsequence of this share of the passage, counts as a paraphrase.
 COSINE, SUBSEQUENCE = 0.6, 0.6
 _WORD = re.compile(r"[^\W_]+")
 
@@ -41,11 +41,12 @@ def words(text: str | None) -> list[str]:
 @dataclass(frozen=True)
 class Space:
     """A block of items in latent space. vectors: a row of each vocabulary word (and a zero row for all others),
-    passages: a column of each piece, least: the product with a window that a shared run reaches at least."""
+    passages: a column of each piece, lengths: words of the whole passages, least: the product with a window that a shared run reaches at least."""
 
     vocabulary: dict[str, int]
     pieces: list[list[int]]
     items: list[int]
+    lengths: list[int]
     answers: list[list[str]]
     vectors: np.ndarray
     norms2: np.ndarray
@@ -120,14 +121,14 @@ def randomised_svd(spark, pieces: list[list[int]], idf: np.ndarray, rank: int, s
 def fit(docs: DataFrame, items: list[tuple[int, str, str]], rank: int = RANK, text: str = "text") -> Iterator[Space]:
     """The latent spaces of a block of items (id, passage, answer): one for each PIECES pieces, so none if no passage
     has RUN words, and several if passages are very long."""
-    cut = [(i, p, words(a)) for i, passage, a in items for p in _pieces(words(passage)) if len(p) >= RUN]
+    cut = [(i, p, words(a), len(w)) for i, passage, a in items for w in [words(passage)] for p in _pieces(w) if len(p) >= RUN]
     for lo in range(0, len(cut), PIECES):
         yield _space(docs, cut[lo : lo + PIECES], rank, text)
 
 
-def _space(docs: DataFrame, cut: list[tuple[int, list[str], list[str]]], rank: int, text: str) -> Space:
-    vocabulary = {w: n for n, w in enumerate(sorted({w for _, p, _ in cut for w in p}))}
-    pieces = [[vocabulary[w] for w in p] for _, p, _ in cut]
+def _space(docs: DataFrame, cut: list[tuple[int, list[str], list[str], int]], rank: int, text: str) -> Space:
+    vocabulary = {w: n for n, w in enumerate(sorted({w for _, p, _, _ in cut for w in p}))}
+    pieces = [[vocabulary[w] for w in p] for _, p, _, _ in cut]
     df, total = document_frequency(docs, vocabulary, text)
     idf = np.log((1 + total) / (1 + df)) + 1e-3  # positive, so that every shared word counts
     basis = randomised_svd(docs.sparkSession, pieces, idf, rank)
@@ -144,7 +145,7 @@ def _space(docs: DataFrame, cut: list[tuple[int, list[str], list[str]]], rank: i
     gap = np.sqrt(np.maximum(0, size**2 - (inside**2).sum(axis=1)))
     gap[gap < 1e-6 * size] = 0
     norms2 = np.append(idf**2, 0).astype(np.float32)
-    return Space(vocabulary, pieces, [i for i, _, _ in cut], [a for _, _, a in cut], vectors, norms2, inside.T.astype(np.float32), size, gap, np.array(least, np.float32))
+    return Space(vocabulary, pieces, [i for i, _, _, _ in cut], [n for _, _, _, n in cut], [a for _, _, a, _ in cut], vectors, norms2, inside.T.astype(np.float32), size, gap, np.array(least, np.float32))
 
 
 def longest_run(x: np.ndarray, y: np.ndarray) -> int:
@@ -177,6 +178,8 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = SimpleNamespace(**shared.value)
         piece_ids = [np.array(p, np.int32) for p in s.pieces]
+        # a window holds 2 * RUN words of a longer piece
+        needed = np.array([COSINE * min(1.0, math.sqrt(2 * RUN / len(p))) for p in s.pieces], np.float32)
         get, other = s.vocabulary.get, len(s.vocabulary)
 
         def documents() -> Iterator[tuple[object, np.ndarray, list[str]]]:
@@ -197,6 +200,7 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             last = np.zeros(at, bool)
             last[[x - 1 for x in [*starts[1:], at]]] = True
             best: dict[tuple[int, int], tuple] = {}
+            answered: set[tuple[int, int]] = set()
             for lo in range(0, at, _SLICE):
                 hi = min(at, lo + _SLICE + 1)
                 span = flat[lo * RUN : hi * RUN]
@@ -212,7 +216,7 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 if s.residual.any():
                     bound = product + RUN * 2 * np.sqrt(mass[:n])[:, None] * s.residual[None, :]
                 cosine = product / np.maximum(1e-9, np.sqrt(mass[:n])[:, None] * s.sizes[None, :])
-                for w, p in zip(*np.nonzero((bound >= s.least) | (cosine >= COSINE)), strict=True):
+                for w, p in zip(*np.nonzero((bound >= s.least) | (cosine >= needed)), strict=True):
                     d = int(np.searchsorted(starts, lo + w, "right")) - 1
                     first = (lo + int(w) - starts[d]) * RUN
                     yield_key = (d, s.items[p])
@@ -221,15 +225,16 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     around = np.where(around == other, -1, around)
                     run = longest_run(around, piece_ids[p])
                     close = float(cosine[w, p])
-                    lcs = common_subsequence(around.tolist(), s.pieces[p]) if run >= RUN or close >= COSINE else run
+                    lcs = common_subsequence(around.tolist(), s.pieces[p]) if run >= RUN or close >= needed[p] else run
                     if run < RUN and lcs < SUBSEQUENCE * len(s.pieces[p]):
                         continue
-                    answer, rest = s.answers[p], part[d][2][first : first + 2 * PIECE + 2 * RUN]
-                    told = bool(answer) and any(rest[i : i + len(answer)] == answer for i in range(len(rest)))
-                    mine = (run, lcs, close, told, len(s.pieces[p]))
+                    answer, rest = s.answers[p], part[d][2][first : first + max(2 * PIECE, s.lengths[p] + PIECE) + 2 * RUN]
+                    if answer and yield_key not in answered and any(rest[i : i + len(answer)] == answer for i in range(len(rest))):
+                        answered.add(yield_key)
+                    mine = (run, lcs, close, len(s.pieces[p]))
                     best[yield_key] = max(best.get(yield_key, mine), mine)
-            for (d, item), (run, lcs, close, told, size) in best.items():
-                yield part[d][0], item, run, lcs, size, close, told
+            for (d, item), (run, lcs, close, size) in best.items():
+                yield part[d][0], item, run, lcs, size, close, (d, item) in answered
 
         def parts() -> Iterator[list[tuple[object, np.ndarray, list[str]]]]:
             part, size = [], 0
@@ -272,6 +277,7 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK) -> DataFrame:
         for space in fit(docs, [tuple(r) for r in mine.where("passage is not null").orderBy("item_id", "passage").collect()], rank):
             # plain values, so that tasks can read them wherever this package lies
             out = out.unionByName(texts.mapInArrow(_search(spark.sparkContext.broadcast(vars(space))), schema))
-    cells = F.struct("run", "lcs", "cosine", "answer", "passage_words")
-    best = out.groupBy("doc_id", "item_id").agg(F.max(cells).alias("m")).select("doc_id", "item_id", *[f"m.{c}" for c in ("run", "lcs", "passage_words", "cosine", "answer")])
+    cells = F.struct("run", "lcs", "cosine", "passage_words")
+    best = out.groupBy("doc_id", "item_id").agg(F.max(cells).alias("m"), F.bool_or("answer").alias("answer"))
+    best = best.select("doc_id", "item_id", *[f"m.{c}" for c in ("run", "lcs", "passage_words", "cosine")], "answer")
     return best.withColumn("kind", F.when(F.col("run") >= RUN, "verbatim").otherwise("paraphrase"))

@@ -209,3 +209,14 @@ def test_corrections_start_from_the_alignment(spark, tmp_path):
     chances = [10 ** (-q / 10) for q in [40] * 11 + [2]]
     z = (1 + 0.5 - sum(chances) / 3) / (sum(p * (1 - p) for p in chances) / 3) ** 0.5
     assert fixed[20][:68] == lost[:68] and fixed[22] == REF[30:] and fixed[21] == (full if z < 1.645 else other) and fixed[30] == other
+
+
+def test_answer_after_any_piece_of_a_leaked_passage(spark):
+    """The longest run is in the first piece, the answer follows the last one, or far behind the only leaked one."""
+    leakage = pytest.importorskip("pairloom.llm.leakage")
+    w = [f"a{i}" for i in range(240)]
+    items = spark.createDataFrame([(1, " ".join(w), "blue")], "item_id long, passage string, answer string")
+    broken = w[:60] + [x for i, x in enumerate(w[60:]) for x in ([x] if i % 16 else ["x", x])] + ["blue"]
+    texts = [broken, w[:60] + ["y"] * 150 + ["blue"], w[:60] + ["y"] * 400 + ["blue"]]
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.answer for r in leakage.leaks(docs, items).collect()} == {0: True, 1: True, 2: False}
