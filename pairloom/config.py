@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """mode: ``referenceless``, ``reference`` or ``barcode_first``. Thresholds in per cent where named so."""
+    """mode: ``referenceless``, ``reference`` or ``barcode_first``. Thresholds in per cent where named so. Of each job only
+    pairs from ``min_read`` on and before ``max_read`` (positions from 0; none: all) are read; ``window`` bases decide on a
+    read's direction against its reference."""
 
     mode: str = "referenceless"
     barcoded: bool = False
@@ -35,6 +37,8 @@ class PipelineConfig:
     primer_kmer: int = 5
     window: int = 40
     compat: bool = False
+    min_read: int = 0
+    max_read: int | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in ("referenceless", "reference", "barcode_first"):

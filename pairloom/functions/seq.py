@@ -40,7 +40,21 @@ def base_code(c: ColumnOrName) -> Column:
 
 def chars(c: ColumnOrName) -> Column:
     """The characters of a string, as an array (empty for the empty string)."""
-    return F.filter(F.split(_c(c), ""), lambda x: x != "")
+    return F.when(_c(c) == "", F.array().cast("array<string>")).otherwise(F.split(_c(c), ""))
+
+
+def places(c: ColumnOrName) -> Column:
+    """The positions of a string, from 1; none for an empty or null string. Exploding them and taking the characters
+    one by one is compiled, unlike functions over arrays of characters."""
+    return F.when(F.length(_c(c)) > 0, F.sequence(F.lit(1), F.length(_c(c))))
+
+
+def char_at(c: ColumnOrName, at: Column) -> Column:
+    return F.substring(_c(c), at, F.lit(1))
+
+
+def phred_at(c: ColumnOrName, at: Column) -> Column:
+    return F.ascii(char_at(c, at)) - 33
 
 
 def phred(c: ColumnOrName) -> Column:
@@ -148,16 +162,10 @@ def cigar_ops(c: ColumnOrName) -> Column:
 def cigar(ref: ColumnOrName, read: ColumnOrName) -> Column:
     """CIGAR of two gapped strings of equal length: equal and substituted bases M, only reference D, only read I."""
     r, q = _c(ref), _c(read)
-    ops = F.zip_with(chars(r), chars(q), lambda a, b: F.when(b == "-", "D").when(a == "-", "I").otherwise("M"))
-    folded = F.aggregate(
-        ops,
-        F.struct(F.lit("").alias("out"), F.lit("").alias("op"), F.lit(0).alias("n")),
-        lambda acc, o: F.when(acc["op"] == o, F.struct(acc["out"].alias("out"), acc["op"].alias("op"), (acc["n"] + 1).alias("n"))).otherwise(
-            F.struct(F.when(acc["n"] > 0, F.concat(acc["out"], acc["n"].cast("string"), acc["op"])).otherwise("").alias("out"), o.alias("op"), F.lit(1).alias("n"))
-        ),
-        lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], acc["n"].cast("string"), acc["op"])).otherwise(""),
-    )
-    return folded
+    ops = F.array_join(F.zip_with(chars(r), chars(q), lambda a, b: F.when(b == "-", "D").when(a == "-", "I").otherwise("M")), "")
+    runs = F.transform(F.regexp_extract_all(ops, F.lit("(M+|I+|D+)"), 1), lambda x: F.concat(F.length(x).cast("string"), F.left(x, F.lit(1))))
+    whole = F.when(F.length(r) > 0, F.concat(F.length(r).cast("string"), F.lit("M"))).otherwise("")
+    return F.when((F.instr(r, "-") == 0) & (F.instr(q, "-") == 0), whole).otherwise(F.array_join(runs, ""))
 
 
 def register(spark: SparkSession) -> None:

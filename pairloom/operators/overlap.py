@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pairloom.config import PipelineConfig
 from pairloom.functions import seq as S
 from pairloom.functions.kernels import align, common_substring
-from pairloom.operators.steps import once
+from pairloom.operators.steps import called, once
 
 # a type object, as a string would need a session on import
 _LCS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("x", "y", "len")])
@@ -67,7 +67,7 @@ def orient(pairs: DataFrame) -> DataFrame:
     the two directions are dropped."""
     rc = F.col("rc2")
     both = once(pairs, {"rc2": S.reverse_complement("seq2")})
-    both = both.withColumns({"f": longest_common_substring("seq1", "seq2"), "r": longest_common_substring("seq1", "rc2")})
+    both = called(both, {"f": longest_common_substring("seq1", "seq2"), "r": longest_common_substring("seq1", "rc2")})
     both = both.where((F.col("f.len") > 0) & (F.col("r.len") > 0))
     turned = F.col("r.len") >= F.col("f.len")
     return once(both, {
@@ -76,15 +76,6 @@ def orient(pairs: DataFrame) -> DataFrame:
     }).drop("f", "r", "rc2")
 
 
-def seeded(pairs: DataFrame, bases: int = 12) -> DataFrame:
-    """As :func:`orient`, with the second read turned and anchored where its first ``bases`` turned bases occur first
-    in the first read; pairs without such a place are dropped. Stays in the JVM."""
-    rc = S.reverse_complement("seq2")
-    found = once(pairs.where(F.length("seq2") >= bases), {"q": rc, "qq": F.reverse("qual2")})
-    found = once(found, {"ri": F.instr(F.col("seq1"), F.left(F.col("q"), F.lit(bases))) - 1})
-    return found.where("ri >= 0").withColumn("qi", F.lit(0))
-
-
 def window(pairs: DataFrame) -> DataFrame:
     """Add the ungapped overlap: ``ref_start``, ``read_start``, ``overlap`` and both windows with their qualities."""
     sub, add = F.least("ri", "qi"), F.least(F.length("seq1") - F.col("ri"), F.length("q") - F.col("qi"))
@@ -110,7 +101,7 @@ def _with_gaps(qual: str, gapped: Column) -> Column:
 def realign(pairs: DataFrame, config: PipelineConfig) -> DataFrame:
     """Replace windows of poor identity by their padded local alignment. Only those go to Python."""
     poor = identity() < config.overlap_identity
-    asked = once(pairs, {"poor": poor}).withColumn("re", local_realign(config.gap)(F.when(F.col("poor"), F.col("wx")), F.when(F.col("poor"), F.col("wy"))))
+    asked = called(once(pairs, {"poor": poor}), {"re": local_realign(config.gap)(F.when(F.col("poor"), F.col("wx")), F.when(F.col("poor"), F.col("wy")))})
     new = {"wx": F.col("re.ref"), "wxq": _with_gaps("wxq", F.col("re.ref")), "wy": F.col("re.read"), "wyq": _with_gaps("wyq", F.col("re.read"))}
     return once(asked, {c: F.when(F.col("poor"), e).otherwise(F.col(c)) for c, e in new.items()}).drop("poor", "re")
 

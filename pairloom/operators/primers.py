@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pairloom.config import PipelineConfig
 from pairloom.functions import seq as S
 from pairloom.functions.kernels import common_subsequence, common_substring
-from pairloom.operators.steps import once
+from pairloom.operators.steps import called, once
 
 #: Most primers that a plan takes in as literals.
 MAX_PRIMERS = 5_000
@@ -84,12 +85,10 @@ def exact(window: Column, found: list[Primer]) -> Column:
     return F.array_min(F.filter(options, lambda o: o["at"] > 0))["id"]
 
 
-def _vote(part: str, found: list[Primer], k: int) -> Primer | None:
-    """The primer that shares most k-mers with a string; the lowest id among equals, None without any."""
-    grams = [part[i : i + k] for i in range(len(part) - k + 1)]
-    votes = [(-sum(sum(p.seq[j : j + k] == g for j in range(len(p.seq) - k + 1)) for g in grams), p.primer_id, n) for n, p in enumerate(found)]
-    best = min(votes, default=(0, 0, 0))
-    return found[best[2]] if best[0] < 0 else None
+def _votes(found: list[Primer], k: int) -> dict[str, np.ndarray]:
+    """For each k-mer of the primers, how often each primer holds it."""
+    grams = [[p.seq[j : j + k] for j in range(len(p.seq) - k + 1)] for p in found]
+    return {g: np.array([each.count(g) for each in grams]) for g in {g for each in grams for g in each}}
 
 
 def approximate(found: list[Primer], config: PipelineConfig):  # noqa: ANN201
@@ -103,14 +102,16 @@ def approximate(found: list[Primer], config: PipelineConfig):  # noqa: ANN201
         if not len(known) or not found:
             return out
         texts = known.tolist()
-        best = [(0, 0, "")] * len(texts)
+        best = np.zeros((len(texts), 2), np.int64)  # length and start of the longest, the first primer's among equals
         for p in found:
-            for i, (_, at, n) in enumerate(common_substring([p.seq] * len(texts), texts)):
-                if n > best[i][0]:
-                    best[i] = (int(n), int(at), texts[i][at : at + n])
+            got = common_substring([p.seq] * len(texts), texts)
+            longer = got[:, 2] > best[:, 0]
+            best[longer] = got[longer][:, [2, 1]]
+        k, table, none = config.primer_kmer, _votes(found, config.primer_kmer), np.zeros(len(found), np.int64)
         asked, ids = [], []
-        for i, (n, _, part) in enumerate(best):
-            choice = _vote(part, found, config.primer_kmer) if n > config.primer_kmer else None
+        for i, (n, at) in enumerate(best.tolist()):
+            votes = sum((table.get(texts[i][j : j + k], none) for j in range(at, at + n - k + 1)), none) if n > k else none
+            choice = found[int(votes.argmax())] if votes.any() else None  # the lowest id among equals
             ids.append(choice)
             if choice and 100.0 * n / len(choice.seq) <= config.primer_quality:
                 asked.append(i)
@@ -119,7 +120,7 @@ def approximate(found: list[Primer], config: PipelineConfig):  # noqa: ANN201
             if 100.0 * n / len(ids[i].seq) <= config.subsequence_quality:
                 ids[i] = None
         out.loc[known.index, "primer_id"] = pd.array([p.primer_id if p else None for p in ids], "Int32")
-        out.loc[known.index, "lcs"] = pd.array([b[0] for b in best], "Int32")
+        out.loc[known.index, "lcs"] = pd.array(best[:, 0], "Int32")
         return out
 
     return search
@@ -130,6 +131,11 @@ def _seq_of(id_: Column, found: tuple[Primer, ...], what: str) -> Column:
     return F.create_map(*[F.lit(v) for p in found for v in (p.primer_id, value(p))])[id_]
 
 
+def sequence(primers: Primers, id_: Column) -> Column:
+    """The sequence of a primer's id."""
+    return _seq_of(id_, primers.all, "seq")
+
+
 def forward_window(primers: Primers, role: str = "F") -> Column:
     n = primers.min_barcode(role)
     return F.substring(F.col("seq"), F.lit(n + 1), F.lit(primers.offset(role) - n))
@@ -154,7 +160,7 @@ def annotate(reads: DataFrame, primers: Primers, config: PipelineConfig | None =
     rows = once(rows, {"f_exact": exact(F.col("fw"), fwd), "b_exact": exact(F.col("bw"), rc)})
     lost = F.col("f_exact").isNull() & F.col("b_exact").isNull()
     rows = once(rows, {"fw": F.when(lost, F.col("fw")), "bw": F.when(lost, F.col("bw"))})
-    rows = rows.withColumns({"fa": approximate(fwd, config)("fw"), "ba": approximate(rc, config)("bw")})
+    rows = called(rows, {"fa": approximate(fwd, config)("fw"), "ba": approximate(rc, config)("bw")})
     ahead = F.col("fa.primer_id").isNotNull() & ((F.col("fa.lcs") >= F.col("ba.lcs")) | F.col("ba.primer_id").isNull())
     turned = F.when(F.col("f_exact").isNotNull(), F.lit(False)).when(F.col("b_exact").isNotNull(), F.lit(True)).otherwise(~ahead)
     chosen = F.coalesce("f_exact", flip[F.col("b_exact")], F.when(ahead, F.col("fa.primer_id")).otherwise(flip[F.col("ba.primer_id")]))
@@ -163,7 +169,7 @@ def annotate(reads: DataFrame, primers: Primers, config: PipelineConfig | None =
 
     rows = once(rows, {"rw": tail_window(primers, "R")})
     rows = once(rows, {"r_exact": exact(F.col("rw"), tail)})
-    rows = rows.withColumn("ra", approximate(tail, config)(F.when(F.col("r_exact").isNull(), F.col("rw"))))
+    rows = called(rows, {"ra": approximate(tail, config)(F.when(F.col("r_exact").isNull(), F.col("rw")))})
     rows = once(rows, {"rprimer_id": flip[F.coalesce("r_exact", "ra.primer_id")]}).where("rprimer_id is not null").drop("rw", "r_exact", "ra")
     fl, rl = _seq_of(F.col("fprimer_id"), primers.all, "barcode_len"), _seq_of(F.col("rprimer_id"), primers.all, "barcode_len")
     return once(rows, {

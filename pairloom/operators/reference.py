@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.config import PipelineConfig
 from pairloom.functions import seq as S
-from pairloom.functions.kernels import align
-from pairloom.operators.steps import once, sealed, unsealed
+from pairloom.functions.kernels import align, matrices
+from pairloom.operators.steps import called, once, sealed, unsealed
+from pairloom.staging import stage
 
-#: Most bases of all references together for which their k-mers are broadcast.
-MAX_REFERENCE = 20_000_000
+#: Most bases of all references together for which their k-mers go to every task; beyond, reads and k-mers are joined.
+MAX_REFERENCE = 2_000_000
+#: Counters of reads and strands that are held at once.
+COUNTERS = 1 << 22
 
 
 def references(table: DataFrame) -> DataFrame:
@@ -32,17 +37,112 @@ def kmer_index(refs: DataFrame, k: int = 8) -> DataFrame:
 def kmer_hits(reads: DataFrame, refs: DataFrame, key: str, part: Column, k: int = 8) -> DataFrame:
     """``key``, ``ref_id``, ``strand``, ``hits``: how many k-mers of a part of each read occur in each strand."""
     index = kmer_index(refs, k)
-    size = refs.agg(F.sum(F.length("ref"))).head()[0] or 0
-    if size <= MAX_REFERENCE:
-        index = F.broadcast(index)
     starts = F.explode(F.sequence(F.lit(1), F.length("s") - k + 1)).alias("i")
     mers = reads.select(key, part.alias("s")).where(F.length("s") >= k).select(key, "s", starts).select(key, F.substring("s", F.col("i"), F.lit(k)).alias("kmer"))
     return mers.join(index, "kmer").groupBy(key, "ref_id", "strand").agg(F.count(F.lit(1)).alias("hits"))
 
 
+class KmerTable(NamedTuple):
+    """The k-mers of both strands of all references, as sorted numbers; strand 2 i is reference i forward, 2 i + 1
+    reversed. The strands of k-mer j are ``strands[starts[j]:starts[j + 1]]``."""
+
+    ids: list
+    kmers: np.ndarray
+    starts: np.ndarray
+    strands: np.ndarray
+
+
+def _codes(text: bytes, k: int) -> np.ndarray:
+    """Numbers of the k-mers of a text in base 4, -1 where a letter is none of ACGT."""
+    base = np.full(256, -1, np.int64)
+    base[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    x = base[np.frombuffer(text, np.uint8)]
+    n = max(0, len(x) - k + 1)
+    code, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+    for i in range(k):
+        code = code * 4 + x[i : i + n]
+        bad |= x[i : i + n] < 0
+    return np.where(bad, -1, code)
+
+
+def _kmer_table(refs: list[tuple[object, str]], k: int) -> KmerTable:
+    turn = str.maketrans("ACGT", "TGCA")
+    found = [np.unique(_codes(s.encode("latin-1", "replace"), k)) for _, ref in refs for s in (ref, ref.translate(turn)[::-1])]
+    strand = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    kmer = np.concatenate([*found, np.zeros(0, np.int64)])
+    strand, kmer = strand[kmer >= 0], kmer[kmer >= 0]
+    order = np.lexsort((strand, kmer))
+    kmers, starts = np.unique(kmer[order], return_index=True)
+    return KmerTable([i for i, _ in refs], kmers, np.append(starts, len(kmer)), strand[order].astype(np.int32))
+
+
+def _hit_counts(texts: list[str], t: KmerTable, k: int, first: np.ndarray | None = None, window: int = 0) -> np.ndarray:
+    """Texts x strands: how many k-mers of each text occur in each strand; with ``window`` only those within so many
+    letters from ``first`` on."""
+    flat = "\n".join(texts).encode("latin-1", "replace")
+    size = np.array([len(x) for x in texts])
+    begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
+    code = _codes(flat, k)
+    at = np.flatnonzero(code >= 0)
+    where = np.searchsorted(t.kmers, code[at])
+    known = (where < len(t.kmers)) & (t.kmers[np.minimum(where, len(t.kmers) - 1)] == code[at])
+    at, where = at[known], where[known]
+    row = np.searchsorted(begin, at, "right") - 1
+    if window:
+        inside = (at - begin[row] >= first[row]) & (at - begin[row] <= first[row] + window - k)
+        where, row = where[inside], row[inside]
+    n = t.starts[where + 1] - t.starts[where]
+    which = np.repeat(t.starts[where] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+    width = 2 * len(t.ids)
+    return np.bincount(np.repeat(row, n) * width + t.strands[which], minlength=len(texts) * width).reshape(len(texts), width)
+
+
+def _placer(shared, k: int, window: int):  # noqa: ANN001, ANN202
+    """Function of a read's part and of the first base of the window that decides on its strand."""
+
+    @F.pandas_udf("ref long, strand string, hits long")
+    def run(part: pd.Series, first: pd.Series) -> pd.DataFrame:
+        t = KmerTable(*shared.value)
+        out = pd.DataFrame({"ref": pd.array([None] * len(part), "Int64"), "strand": None, "hits": pd.array([None] * len(part), "Int64")}, index=part.index)
+        known = np.flatnonzero(part.notna().to_numpy())
+        step = max(1, COUNTERS // max(1, 2 * len(t.ids)))
+        for rows in (known[lo : lo + step] for lo in range(0, len(known) if len(t.kmers) else 0, step)):
+            texts = part.iloc[rows].tolist()
+            hits = _hit_counts(texts, t, k)
+            best, i = hits.argmax(axis=1), np.arange(len(rows))  # the lowest reference, forward before reverse
+            top, ref, strand = hits[i, best], best // 2, best % 2
+            if window:
+                near = _hit_counts(texts, t, k, first.iloc[rows].to_numpy(), window)
+                strand = (near[i, 2 * ref] < near[i, 2 * ref + 1]).astype(int)
+            rows, ref, strand, top = rows[top > 0], ref[top > 0], strand[top > 0], top[top > 0]
+            out.iloc[rows, 0] = pd.array([t.ids[x] for x in ref], "Int64")
+            out.iloc[rows, 1] = np.where(strand == 0, "+", "-")
+            out.iloc[rows, 2] = pd.array(top, "Int64")
+        return out
+
+    return run
+
+
+def placed(reads: DataFrame, refs: DataFrame, part: Column, k: int = 8, window: int = 0, first: Column | None = None, key: str = "ordinal") -> DataFrame:
+    """``reads`` with ``ref_id``, ``strand`` and ``hits``: the reference that shares most k-mers with a part of the read on
+    one strand, the lowest id among equals, forward before reverse. Reads without hits are dropped, k-mers with other
+    letters than ACGT count nowhere.
+
+    With ``window`` the strand is that which shares more of the k-mers within so many bases from ``first`` (from 0) on,
+    forward if they share as many. References of up to MAX_REFERENCE bases go to every task, so nothing is shuffled;
+    longer ones are joined by k-mer (``key`` must be unique, and the whole part decides on the strand)."""
+    spark = reads.sparkSession
+    if (refs.agg(F.sum(F.length("ref"))).head()[0] or 0) > MAX_REFERENCE:
+        return reads.join(place(reads, refs, key, part, k), key)
+    known = [(r["ref_id"], r["ref"]) for r in refs.where("ref_id is not null and ref is not null").orderBy("ref_id").collect()]
+    # plain values, so that tasks can read them wherever this package lies
+    shared = spark.sparkContext.broadcast(tuple(_kmer_table(known, k)))
+    found = called(reads, {"__spot": _placer(shared, k, window)(part, F.lit(0) if first is None else first)}).where("__spot.ref is not null")
+    return found.select(*reads.columns, F.col("__spot.ref").cast(refs.schema["ref_id"].dataType).alias("ref_id"), "__spot.strand", "__spot.hits")
+
+
 def place(reads: DataFrame, refs: DataFrame, key: str, part: Column, k: int = 8) -> DataFrame:
-    """``key``, ``ref_id``, ``strand``, ``hits``: the reference with most hits on one strand, the lowest id among equals,
-    forward before reverse; reads without hits are left out."""
+    """``key``, ``ref_id``, ``strand``, ``hits`` as in :func:`placed`, by a join on k-mers."""
     # hits, then the id downwards, then the strand, in one number, so that hash aggregation can keep the largest
     top = 1 << 31
     rank = F.col("hits") * F.lit(2 * top) + (F.lit(top - 1) - F.col("ref_id").cast("long")) * 2 + (F.col("strand") == "+").cast("long")
@@ -51,6 +151,12 @@ def place(reads: DataFrame, refs: DataFrame, key: str, part: Column, k: int = 8)
     return found.select(key, ref_id, F.when(F.col("m") % 2 == 1, "+").otherwise("-").alias("strand"), F.shiftright("m", 32).alias("hits"))
 
 
+def turned(reads: DataFrame) -> DataFrame:
+    """Reads (``seq``, ``qual``) placed on ``strand`` - turned."""
+    back = F.col("strand") == "-"
+    return once(reads, {"seq": F.when(back, S.reverse_complement("seq")).otherwise(F.col("seq")), "qual": F.when(back, F.reverse("qual")).otherwise(F.col("qual"))})
+
+
 def diagonal(read: str, ref: str, k: int = 8) -> Column:
     """Where in the reference (from 0, negative before it) a read begins by most of its k-mers, each at its first
     place; the lowest among equals, 0 without any."""
@@ -60,11 +166,31 @@ def diagonal(read: str, ref: str, k: int = 8) -> Column:
     return F.coalesce(-most["d"], F.lit(0))
 
 
-def _global(gap: int, band: int) -> Column:
-    @F.pandas_udf("score int, ref_aln string, read_aln string")
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+def _bodies(x: list[str], y: list[str], head: np.ndarray, body: np.ndarray) -> list[tuple]:
+    """Of gapped alignments the part beside the reference's body, from ``head`` to ``body`` bases of x: both strings, bases
+    of y before it and up to its end, matches, mismatches with and without deletions, and gaps; nothing where x ends
+    before the body does."""
+    r, size, q, _ = matrices(x, y)
+    shown = np.arange(r.shape[1])[None, :] < size[:, None]
+    ref, read = shown & (r != ord("-")), shown & (q != ord("-"))
+    before = np.cumsum(ref, axis=1) - ref
+    upto = shown & (before < body[:, None])
+    kept = upto & (before >= head[:, None])
+    same = kept & (r == q)
+    cells = [(upto & read & ~kept), (upto & read), same, kept & ref & (r != q), kept & ref & read & (r != q), kept & ~(ref & read)]
+    counts = np.stack([c.sum(axis=1) for c in cells], axis=1).tolist()
+    lo, hi = np.where(kept.any(axis=1), kept.argmax(axis=1), 0).tolist(), (np.where(kept.any(axis=1), r.shape[1] - kept[:, ::-1].argmax(axis=1), 0) if r.shape[1] else 0 * size).tolist()
+    whole = ((upto & ref).sum(axis=1) == body) & kept.any(axis=1)
+    return [(a[p:e], b[p:e], *n) if ok else (None,) * 8 for a, b, p, e, n, ok in zip(x, y, lo, hi, counts, whole.tolist(), strict=True)]
+
+
+def _global(gap: int, band: int):  # noqa: ANN202
+    @F.pandas_udf("ref_aln string, read_aln string, lead int, used int, matches int, mismatches_raw int, mismatches int, gaps int")
+    def run(x: pd.Series, y: pd.Series, head: pd.Series, body: pd.Series) -> pd.DataFrame:
         got = align(x.fillna("").tolist(), y.fillna("").tolist(), gap, band, False)
-        return pd.DataFrame([(g[0], g[1], g[2]) for g in got], columns=["score", "ref_aln", "read_aln"])
+        rows = _bodies([g.x for g in got], [g.y for g in got], head.to_numpy(), body.to_numpy()) if got else []
+        out = pd.DataFrame(rows, columns=["ref_aln", "read_aln", "lead", "used", "matches", "mismatches_raw", "mismatches", "gaps"])
+        return out.astype({c: "Int32" for c in out.columns[2:]})
 
     return run
 
@@ -85,37 +211,13 @@ def banded(reads: DataFrame, config: PipelineConfig | None = None, front: str |
     rows = once(reads, {"__whole": whole, "__body": F.length(head) + F.length("ref"), "__head": F.length(head)}).where(near)
     n = F.least(F.length("__whole"), F.length("seq"))
     rows = once(rows, {"__whole": F.left(F.col("__whole"), n), "seq": F.left(F.col("seq"), n), "qual": F.left(F.col("qual"), n)})
-    rows = rows.withColumn("al", _global(config.gap, config.kband)(F.col("__whole"), F.col("seq"))).where(F.length("al.ref_aln") > 0)
-    return _body(rows, config)
-
-
-def _body(rows: DataFrame, config: PipelineConfig) -> DataFrame:
-    """Cut the alignment to the reference's body and judge it."""
-    cells = F.zip_with(S.chars("al.ref_aln"), S.chars("al.read_aln"), lambda r, q: F.struct(r.alias("r"), q.alias("q")))
-    none = F.lit("")
-    start = F.struct(F.lit(0).alias("ref"), F.lit(0).alias("read"), F.lit(0).alias("lead"), none.alias("x"), none.alias("y"))
-
-    def step(acc: Column, c: Column) -> Column:
-        r, q = (c["r"] != "-").cast("int"), (c["q"] != "-").cast("int")
-        before, done = acc["ref"] < F.col("__head"), acc["ref"] >= F.col("__body")
-        moved = F.struct(
-            (acc["ref"] + r).alias("ref"), (acc["read"] + q).alias("read"), F.when(before, acc["lead"] + q).otherwise(acc["lead"]).alias("lead"),
-            F.when(before, acc["x"]).otherwise(F.concat(acc["x"], c["r"])).alias("x"), F.when(before, acc["y"]).otherwise(F.concat(acc["y"], c["q"])).alias("y"),
-        )
-        return F.when(done, acc).otherwise(moved)
-
-    rows = once(rows, {"cut": F.aggregate(cells, start, step)}).where(F.col("cut.ref") == F.col("__body"))
-    count = lambda f: F.aggregate(F.zip_with(S.chars("ref_aln"), S.chars("read_aln"), f), F.lit(0), lambda acc, n: acc + n)
-    rows = once(rows, {"ref_aln": F.col("cut.x"), "read_aln": F.col("cut.y")})
-    rows = once(rows, {
-        "matches": count(lambda r, q: ((r == q) & (r != "-")).cast("int")), "mismatches_raw": count(lambda r, q: ((r != q) & (r != "-")).cast("int")),
-        "mismatches": count(lambda r, q: ((r != q) & (r != "-") & (q != "-")).cast("int")), "gaps": count(lambda r, q: ((r == "-") | (q == "-")).cast("int")),
-    })
+    rows = called(rows, {"al": _global(config.gap, config.kband)("__whole", "seq", "__head", "__body")}).where("al.ref_aln is not null")
     if config.exclude_indels:
-        rows = rows.where("gaps = 0")
-    rows = rows.where(100.0 * F.col("matches") / F.col("cut.read") >= config.global_identity)
-    size = F.col("cut.read") - F.col("cut.lead")
-    return once(rows, {c: F.substring(F.col(c), F.col("cut.lead") + 1, size) for c in ("seq", "qual")}).drop("__whole", "__body", "__head", "al", "cut")
+        rows = rows.where("al.gaps = 0")
+    rows = rows.where(100.0 * F.col("al.matches") / F.col("al.used") >= config.global_identity)
+    part = lambda c: F.substring(F.col(c), F.col("al.lead") + 1, F.col("al.used") - F.col("al.lead")).alias(c)
+    kept = [c for c in rows.columns if c not in ("__whole", "__body", "__head", "al", "seq", "qual")]
+    return rows.select(*kept, *[f"al.{c}" for c in ("ref_aln", "read_aln", "matches", "mismatches_raw", "mismatches", "gaps")], part("seq"), part("qual"))
 
 
 def sam(aligned: DataFrame, name: str = "title") -> DataFrame:
@@ -172,9 +274,12 @@ def position_stats(aligned: DataFrame, ref: str | Sequence[str] = "ref_id") -> D
     """For each reference (or job and reference) and position (from 0): ``n``, expected errors ``mu`` and their deviation ``sigma``, counts of
     the four bases. Only aligned bases count. Sums are combined before rows move."""
     ref = [ref] if isinstance(ref, str) else list(ref)
-    each = _spread(aligned).select(*ref, "ref_aln", _start(aligned).alias("__start"), F.posexplode(_cells()).alias("at", "c")).where("c.r <> '-' and c.b <> '-'")
+    rows = _spread(aligned).select(*ref, "ref_aln", "read_aln", "qual_aln", _start(aligned).alias("__start"))
+    at = F.col("at")
+    each = rows.withColumn("at", F.explode(S.places("ref_aln")))
+    each = each.where((S.char_at("ref_aln", at) != "-") & (S.char_at("read_aln", at) != "-"))
     # first by quality as well: few groups for each position, and the powers are taken once for each
-    each = each.select(*ref, _position(F.col("at"), F.col("__start")).alias("ref_pos"), F.col("c.b").alias("b"), (F.ascii("c.q") - 33).alias("q"))
+    each = each.select(*ref, _position(at - 1, F.col("__start")).alias("ref_pos"), S.char_at("read_aln", at).alias("b"), S.phred_at("qual_aln", at).alias("q"))
     each = each.groupBy(*ref, "ref_pos", "b", "q").agg(F.count(F.lit(1)).alias("k"))
     p = F.pow(F.lit(10.0), -F.col("q") / 10.0)
     counts = [F.sum(F.when(F.col("b") == b, F.col("k")).otherwise(0)).alias(f"n_{b.lower()}") for b in "ACGT"]
@@ -193,13 +298,14 @@ def z_scores(stats: DataFrame) -> DataFrame:
 def correct_zscore(aligned: DataFrame, ref: str | Sequence[str] = "ref_id", least: float = 1.645) -> DataFrame:
     """``seq`` with aligned bases that differ from the reference replaced by its base where they are no commoner at
     their position than errors explain. Bases other than ACGT stay. The kept bases of each reference position are one
-    short array for a reference, joined to its reads: nothing is taken apart and put together again."""
+    short array for a reference, written once and joined to its reads: nothing is taken apart and put together again.
+    ``aligned`` is read twice, so it should be a table, not the alignment itself."""
     ref = [ref] if isinstance(ref, str) else list(ref)
     aligned = sealed(aligned)
     kept = F.concat(*[F.when(F.col(f"z_{b.lower()}") >= least, b).otherwise("") for b in "ACGT"])
     table = z_scores(position_stats(aligned, ref)).groupBy(*ref).agg(F.map_from_entries(F.collect_list(F.struct("ref_pos", kept.alias("k")))).alias("kept"))
     table = table.select(*ref, F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("kept"))), lambda i: F.coalesce(F.col("kept")[i], F.lit(""))).alias("kept"))
-    rows = aligned.join(table, ref, "left")
+    rows = aligned.join(stage(table, "kept_bases"), ref, "left")
 
     def fix(c: Column, at: Column) -> Column:
         return (
@@ -210,9 +316,11 @@ def correct_zscore(aligned: DataFrame, ref: str | Sequence[str] = "ref_id", leas
         )
 
     cells = F.arrays_zip(S.chars("ref_aln").alias("r"), S.chars("read_aln").alias("b"))
-    return unsealed(once(rows, {"seq": F.translate(F.array_join(F.transform(cells, fix), ""), "-", "")}).drop("kept"))
+    fixed = F.translate(F.array_join(F.transform(cells, fix), ""), "-", "")
+    same = F.col("ref_aln") == F.col("read_aln")
+    return unsealed(once(rows, {"seq": F.when(same, F.col("read_aln")).otherwise(fixed)}).drop("kept"))
 
 
-def reference_record(spark: SparkSession, ref: str, fastq: bool = False) -> DataFrame:
-    """The record of the reference itself that precedes reference-guided output."""
-    return spark.createDataFrame([("CONSENSUS", ref, "J" * len(ref))], "title string, seq string, qual string")
+def reference_records(refs: DataFrame) -> DataFrame:
+    """The records of the references themselves, which precede reference-guided output."""
+    return refs.select(F.lit("CONSENSUS").alias("title"), F.col("ref").alias("seq"), F.expr("repeat('J', length(ref))").alias("qual"))

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from pairloom.staging import tasks
 
-#: Items that the frequent-items summary tracks, and the most that the driver receives from it.
-TRACKED = 20_000
+#: Items that the frequent-items summary tracks at least, for each task, and at most (the function's own limit).
+TRACKED, TRACKED_PER_TASK, MOST_TRACKED = 20_000, 16, 1_000_000
 #: Keys with at least this share of a task's mean load are placed one by one.
 HEAVY_SHARE = 0.25
 #: Hash slices of the remaining keys for each task.
@@ -30,7 +30,7 @@ SLICES = 8
 #: Rows below which one task suffices.
 ROWS_PER_TASK = 20_000
 
-KEY, SHARD, BIN = "__key", "__shard", "__bin"
+KEY, SHARD, BIN, SPLIT = "__key", "__shard", "__bin", "__split"
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,11 @@ class ShardPlan:
     light: list[int]
     total: int
 
+    @property
+    def splits(self) -> bool:
+        """Whether any key has several shards."""
+        return any(len(places) > 1 for places in self.heavy.values())
+
     def loads(self, counts: dict[str, int]) -> list[float]:
         """Rows that each task would get if keys had these counts."""
         out = [0.0] * self.bins
@@ -92,21 +97,26 @@ def pack(loads: dict[str, int], total: int, bins: int) -> ShardPlan:
 
 def plan_shards(df: DataFrame, keys: Sequence[str], bins: int | None = None) -> ShardPlan:
     """Estimate the load of the keys of ``df`` over all its rows and pack them. Rows with a null in a key count as
-    rows but not as a key. The driver receives at most :data:`TRACKED` items."""
+    rows but not as a key.
+
+    No more than ``bins / HEAVY_SHARE`` keys can have a share that is placed by itself, so that many are asked for, of
+    a summary whose error (3.5 / tracked items of all rows) lies below that share; the driver receives no more."""
     key = F.when(_null_key(keys), None).otherwise(_text_key(keys))
+    most = bins or tasks(df.sparkSession)
+    tracked = min(MOST_TRACKED, max(TRACKED, TRACKED_PER_TASK * most))
     found = df.select(key.alias(KEY)).agg(
-        F.count(F.lit(1)).alias("n"),
         F.count(KEY).alias("keyed"),
-        F.expr(f"approx_top_k({KEY}, 1000, {TRACKED})").alias("top"),
+        F.expr(f"approx_top_k({KEY}, {min(tracked, math.ceil(most / HEAVY_SHARE))}, {tracked})").alias("top"),
     ).head()
     if bins is None:
-        bins = max(1, min(tasks(df.sparkSession), math.ceil(found["keyed"] / ROWS_PER_TASK)))
+        bins = max(1, min(most, math.ceil(found["keyed"] / ROWS_PER_TASK)))
     loads = {x["item"]: x["count"] for x in found["top"] if x["item"] is not None}
     return pack(loads, found["keyed"], bins)
 
 
 def _place(df: DataFrame, keys: Sequence[str], plan: ShardPlan, spread: Column | None) -> DataFrame:
-    """Add key text, shard and task. spread: what chooses among a key's shards; None copies rows to every shard.
+    """Add key text, shard, task and whether the key is split. spread: what chooses among a key's shards; None copies
+    rows to every shard.
 
     The plan's tables are bounded by ``bins / HEAVY_SHARE`` keys and ``bins * SLICES`` slices, whatever the data."""
     spark = df.sparkSession
@@ -118,13 +128,19 @@ def _place(df: DataFrame, keys: Sequence[str], plan: ShardPlan, spread: Column |
     light = F.array("__light")
     if spread is not None:  # rows with a null key match nothing, so they are spread instead of sharing one task
         light = F.when(_null_key(keys), F.array(F.pmod(F.xxhash64(spread), F.lit(plan.bins)).cast("int"))).otherwise(light)
-    out = out.withColumn("__places", F.coalesce("__places", light)).drop("__slot", "__light")
+    out = out.withColumn("__places", F.coalesce("__places", light)).withColumn(SPLIT, F.size("__places") > 1).drop("__slot", "__light")
     if spread is None:
         return out.select("*", F.posexplode("__places").alias(SHARD, BIN)).drop("__places")
     out = out.withColumn(SHARD, F.pmod(F.xxhash64(spread), F.size("__places")).cast("int"))
     return out.withColumn(BIN, F.element_at("__places", F.col(SHARD) + 1)).drop("__places")
 
 
+def placed(df: DataFrame, keys: Sequence[str], spread: str, plan: ShardPlan) -> DataFrame:
+    """``df`` with every row on the task of its key's shard, and SPLIT: whether the key has several shards. Only the
+    groups of split keys have to be merged after work within the tasks."""
+    return _place(df, keys, plan, F.col(spread)).repartitionById(plan.bins, BIN).drop(KEY, SHARD, BIN)
+
+
 def per_key(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, str]], spread: str, plan: ShardPlan | None = None) -> DataFrame:
     """Per-key results with no overloaded task.
 
@@ -158,7 +174,7 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: Sequence[st
     plan = plan or plan_shards(left, keys)
     a = _place(left, keys, plan, F.col(spread)).repartitionById(plan.bins, BIN)
     b = _place(right.dropna(subset=list(keys)), keys, plan, None).repartitionById(plan.bins, BIN)
-    out = a.join(b.drop(KEY), [BIN, SHARD, *keys], how)
+    out = a.join(b.drop(KEY, SPLIT), [BIN, SHARD, *keys], how)
     kept = [c for c in left.columns] + ([c for c in right.columns if c not in keys] if how in ("inner", "left") else [])
     return out.select(*kept)
 

@@ -27,3 +27,9 @@ def once(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
     keeps the optimizer from copying a long expression into every filter and projection above it."""
     kept = [F.col(c) for c in df.columns if c not in cols]
     return df.select(*kept, F.inline(F.array(F.struct(*[e.alias(n) for n, e in cols.items()]))))
+
+
+def called(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+    """Add columns computed by Python functions, once for a row: a filter on one of them would otherwise be moved
+    below the projection, and the function run again for it."""
+    return once(df.withColumns(dict(cols)), {c: F.col(c) for c in cols})

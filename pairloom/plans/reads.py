@@ -19,10 +19,11 @@ from pairloom.operators import collapse as C
 from pairloom.operators import overlap as O
 from pairloom.operators import primers as P
 from pairloom.operators import reference as R
-from pairloom.operators.steps import JOB, once
+from pairloom.operators.steps import JOB, called, once
+from pairloom.plans import oracle as Q
 from pairloom.plans import pipelines
 from pairloom.sources import sinks
-from pairloom.staging import spread, table
+from pairloom.staging import spread, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,38 +42,26 @@ def query(sql: str | None = None) -> Callable:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_pair as pairs of the pipelines, bases in upper case."""
     rows = table(spark, sf_dir, "read_pair").select(
-        "ordinal", "job_id", F.col("read_name_first").alias("name1"), F.upper("readseq_first").alias("seq1"), F.col("quality_first").alias("qual1"),
-        F.upper("readseq_second").alias("seq2"), F.col("quality_second").alias("qual2"),
+        "ordinal", "job_id", F.col("read_name_first").alias("name1"), F.col("readseq_first").alias("seq1"), F.col("quality_first").alias("qual1"),
+        F.col("readseq_second").alias("seq2"), F.col("quality_second").alias("qual2"),
     )
-    return spread(rows)
+    return once(spread(rows), {"seq1": F.upper("seq1"), "seq2": F.upper("seq2")})
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First reads of ACGTN with legal qualities of their own length, and their stated primers and barcodes."""
     rows = table(spark, sf_dir, "read_pair").select(
-        "ordinal", "job_id", F.col("read_name_first").alias("name"), F.upper("readseq_first").alias("seq"), F.col("quality_first").alias("qual"),
+        "ordinal", "job_id", F.col("read_name_first").alias("name"), F.col("readseq_first").alias("seq"), F.col("quality_first").alias("qual"),
         F.col("forward_primer").alias("vprimer"), F.col("reverse_primer").alias("cprimer"), F.col("forward_barcode").alias("fbarcode"), F.col("reverse_barcode").alias("rbarcode"),
     )
     ok = F.col("seq").rlike(r"^[ACGTN]+\z") & F.col("qual").rlike(r"^[!-J]+\z") & (F.length("seq") == F.length("qual"))
-    return spread(rows).where(ok & F.col("name").isNotNull()).withColumn("title", S.display_name("name"))
+    # once: else the filter goes below the spreading of a small table, where one task does all of it
+    rows = once(spread(rows), {"seq": F.upper("seq"), "qual": F.col("qual"), "name": F.col("name")})
+    return rows.where(ok & F.col("name").isNotNull()).withColumn("title", S.display_name("name"))
 
 
-_CLEAN = """
-clean AS (
-  SELECT ordinal, read_name_first AS name, upper(readseq_first) AS seq, quality_first AS qual, forward_primer AS vprimer, reverse_primer AS cprimer,
-         forward_barcode AS fbarcode, reverse_barcode AS rbarcode
-  FROM read_pair
-  WHERE regexp_full_match(upper(readseq_first), '[ACGTN]+') AND regexp_full_match(quality_first, '[!-J]+') AND length(readseq_first) = length(quality_first) AND read_name_first IS NOT NULL)
-"""
-
-
-def _display(c: str) -> str:
-    head = f"split_part({c}, ' ', 1)"
-    tail = f"array_to_string(list_slice(string_split({head}, ':'), 5, 1000), ':')"
-    return f"CASE WHEN length({tail}) > 0 THEN regexp_replace({tail}, '[^0-9]', '_', 'g') ELSE substr({head}, 2) END"
-
-
-_TITLED = _CLEAN + f", titled AS (SELECT *, {_display('name')} AS title FROM clean)"
+_CLEAN = Q.CLEAN
+_TITLED = _CLEAN + f", titled AS (SELECT *, {Q.display('name')} AS title FROM clean)"
 
 
 # scalar functions -------------------------------------------------------------------------------------------------
@@ -100,7 +89,7 @@ def mean_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ordinal", S.mean_quality("quality_first").alias("mean_quality"))
 
 
-@query(f"SELECT ordinal, {_display('read_name_first')} AS name FROM read_pair WHERE read_name_first IS NOT NULL")
+@query(f"SELECT ordinal, {Q.display('read_name_first')} AS name FROM read_pair WHERE read_name_first IS NOT NULL")
 def name_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "read_pair").where("read_name_first is not null").select("ordinal", S.display_name("read_name_first").alias("name"))
 
@@ -118,23 +107,6 @@ def iupac_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("primer_id", "p.barcode_len", F.explode(S.iupac_expand("p.primer")).alias("primer"))
 
 
-_LUT = "CAST(least(41, floor(0.5 - 10 * log10({}))) AS INTEGER)"
-_SAME = _LUT.format("a * b / ((1 - a) * (1 - b) + a * b)")
-_OTHER = _LUT.format("a / (a + b - a * b)")
-_ERRORS = "power(10, -greatest(x, y) / 12.0) AS a, power(10, -least(x, y) / 12.0) AS b"
-
-
-@query(f"""
-WITH q AS (SELECT ascii(quality_first) - 33 AS x, ascii(quality_second) - 33 AS y, count(*) AS n FROM read_pair
-           WHERE regexp_full_match(quality_first, '[!-J]+') AND regexp_full_match(quality_second, '[!-J]+') GROUP BY ALL),
-e AS (SELECT *, {_ERRORS} FROM q)
-SELECT x, y, n, CASE WHEN x = 0 THEN y WHEN y = 0 THEN x ELSE {_SAME} END AS same, CASE WHEN x = 0 THEN y WHEN y = 0 THEN x ELSE {_OTHER} END AS other FROM e""")
-def quality_merge_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "read_pair").where(F.col("quality_first").rlike(r"^[!-J]+\z") & F.col("quality_second").rlike(r"^[!-J]+\z"))
-    seen = rows.groupBy((F.ascii("quality_first") - 33).alias("x"), (F.ascii("quality_second") - 33).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    return seen.select("x", "y", "n", S.match_quality(F.col("x"), F.col("y")).alias("same"), S.mismatch_quality(F.col("x"), F.col("y")).alias("other"))
-
-
 # filters and joins --------------------------------------------------------------------------------------------------
 
 
@@ -163,9 +135,9 @@ def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # overlap ------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {Q.well_formed()}, {Q.LCS} SELECT ordinal, CAST(coalesce(x, -1) AS INTEGER) AS x, CAST(coalesce(y, -1) AS INTEGER) AS y, CAST(coalesce(len, 0) AS INTEGER) AS len FROM p LEFT JOIN (FROM lcs WHERE dir = 'r') USING (ordinal)")
 def lcs_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = O.well_formed(pairs(spark, sf_dir)).withColumn("s", O.longest_common_substring(F.col("seq1"), S.reverse_complement("seq2")))
+    rows = called(O.well_formed(pairs(spark, sf_dir)), {"s": O.longest_common_substring(F.col("seq1"), S.reverse_complement("seq2"))})
     return rows.select("ordinal", "s.x", "s.y", "s.len")
 
 
@@ -174,97 +146,46 @@ def _subsequence(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(common_subsequence(x.tolist(), y.tolist()), index=x.index)
 
 
-@query()
+@query(f"WITH {_CLEAN} SELECT ordinal, {Q.subsequence('vprimer', 'substr(seq, 15, 20)')} AS lcs FROM clean WHERE vprimer IS NOT NULL")
 def lcsubseq_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean(spark, sf_dir).where("vprimer is not null")
     return rows.select("ordinal", _subsequence(F.col("vprimer"), F.substring("seq", 15, 20)).alias("lcs"))
 
 
-_OVER = """
-p AS (
-  SELECT ordinal, upper(readseq_first) AS seq1, quality_first AS qual1, reverse(translate(upper(readseq_second), 'ACGT', 'TGCA')) AS q, reverse(quality_second) AS qq
-  FROM read_pair
-  WHERE length(readseq_first) = length(quality_first) AND length(readseq_second) = length(quality_second) AND length(readseq_first) > 0 AND length(readseq_second) >= 12
-    AND regexp_full_match(quality_first, '[!-J]*') AND regexp_full_match(quality_second, '[!-J]*')),
-s AS (SELECT *, instr(seq1, left(q, 12)) - 1 AS ref_start, 0 AS read_start FROM p),
-w AS (SELECT *, least(length(seq1) - ref_start, length(q)) AS overlap FROM s WHERE ref_start >= 0)
-"""
-_EACH = """
-c AS (
-  SELECT ordinal, i, substr(seq1, ref_start + i, 1) AS b1, ascii(substr(qual1, ref_start + i, 1)) - 33 AS x, substr(q, i, 1) AS b2, ascii(substr(qq, i, 1)) - 33 AS y
-  FROM w, unnest(range(1, overlap + 1)) AS u(i))
-"""
-_MERGED = f"""
-e AS (SELECT *, {_ERRORS} FROM c),
-m AS (
-  SELECT ordinal, i,
-    CASE WHEN b1 = 'N' THEN b2 WHEN b2 = 'N' THEN b1 WHEN b1 = b2 THEN b1 WHEN x = y THEN greatest(b1, b2) WHEN x > y THEN b1 ELSE b2 END AS b,
-    CASE WHEN b1 = 'N' THEN y WHEN b2 = 'N' THEN x WHEN b1 <> b2 AND x = y THEN x WHEN x = 0 THEN y WHEN y = 0 THEN x WHEN b1 = b2 THEN {_SAME} ELSE {_OTHER} END AS q
-  FROM e),
-g AS (SELECT ordinal, string_agg(b, '' ORDER BY i) AS seq, string_agg(chr(q + 33), '' ORDER BY i) AS qual FROM m GROUP BY 1 HAVING count_if(b = 'N') = 0)
-"""
-
-
-def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.window(O.seeded(O.well_formed(pairs(spark, sf_dir))))
-
-
-@query("WITH " + _OVER + "SELECT ordinal, ref_start, read_start, overlap FROM w")
-def overlap_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seeded(spark, sf_dir).select("ordinal", "ref_start", "read_start", "overlap")
-
-
-@query("WITH " + _OVER + "," + _EACH + "SELECT ordinal, round(100.0 * count_if(b1 = b2) / count(*), 6) AS identity FROM c GROUP BY 1")
-def overlap_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seeded(spark, sf_dir).select("ordinal", F.round(O.identity(), 6).alias("identity"))
-
-
-@query("WITH " + _OVER + "," + _EACH + "," + _MERGED + "SELECT ordinal, seq, qual FROM g")
-def merge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(_seeded(spark, sf_dir), {"m": O.merged_bases()}).where("m is not null")
-    return rows.select("ordinal", F.array_join(F.transform("m", lambda v: v["b"]), "").alias("seq"), F.array_join(F.transform("m", lambda v: S.phred_char(v["q"])), "").alias("qual"))
-
-
-@query("WITH " + _OVER + "," + _EACH + "," + _MERGED + """
-SELECT ordinal, left(seq1, ref_start) || seq || substr(w.q, overlap + 1) AS seq, left(qual1, ref_start) || qual || substr(qq, overlap + 1) AS qual FROM g JOIN w USING (ordinal)""")
-def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.stitch(_seeded(spark, sf_dir)).select("ordinal", "seq", "qual")
-
-
-# The SQL above can only follow a turned second read whose first 12 bases occur unchanged in the first. The four
-# queries below are the operators on all well-formed pairs; SQL can't follow the longest common substring.
+_OVER = f"{Q.well_formed()}, {Q.LCS}, {Q.WINDOW}"
 
 
 def _oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.window(O.orient(O.well_formed(pairs(spark, sf_dir))))
 
 
-@query()
-def overlap_window_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_OVER} SELECT ordinal, CAST(ref_start AS INTEGER) AS ref_start, CAST(read_start AS INTEGER) AS read_start, CAST(overlap AS INTEGER) AS overlap FROM w")
+def overlap_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oriented(spark, sf_dir).select("ordinal", "ref_start", "read_start", "overlap")
 
 
-@query()
-def overlap_identity_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_OVER} SELECT ordinal, round(100.0 * count_if(b1 = b2) / count(*), 6) AS identity FROM c GROUP BY 1")
+def overlap_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oriented(spark, sf_dir).select("ordinal", F.round(O.identity(), 6).alias("identity"))
 
 
-@query()
-def merge_bases_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_OVER}, {Q.merged()} SELECT ordinal, seq, qual FROM g")
+def merge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(_oriented(spark, sf_dir), {"m": O.merged_bases()}).where("m is not null")
     return rows.select("ordinal", F.array_join(F.transform("m", lambda v: v["b"]), "").alias("seq"), F.array_join(F.transform("m", lambda v: S.phred_char(v["q"])), "").alias("qual"))
 
 
-@query()
-def stitch_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {Q.merge()} SELECT ordinal, seq, qual FROM st")
+def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.stitch(_oriented(spark, sf_dir)).select("ordinal", "seq", "qual")
 
 
-@query()
-def quality_merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""
+WITH {_OVER}, n AS (SELECT x, y, count(*) AS n FROM c GROUP BY ALL), e AS (SELECT *, {Q.ERRORS} FROM n)
+SELECT x, y, n, CASE WHEN x = 0 THEN y WHEN y = 0 THEN x ELSE {Q.SAME} END AS same, CASE WHEN x = 0 THEN y WHEN y = 0 THEN x ELSE {Q.OTHER} END AS other FROM e""")
+def quality_merge_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of qualities at all positions of all overlaps, and what the merge tables make of them."""
-    cells = F.arrays_zip(S.phred("wxq").alias("x"), S.phred("wyq").alias("y"))
-    each = _oriented(spark, sf_dir).select(F.explode(cells).alias("c")).select("c.x", "c.y")
+    each = _oriented(spark, sf_dir).withColumn("i", F.explode(S.places("wxq"))).select(S.phred_at("wxq", F.col("i")).alias("x"), S.phred_at("wyq", F.col("i")).alias("y"))
     seen = each.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     return seen.select("x", "y", "n", S.match_quality(F.col("x"), F.col("y")).alias("same"), S.mismatch_quality(F.col("x"), F.col("y")).alias("other"))
 
@@ -272,8 +193,7 @@ def quality_merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sw_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local realignment of overlaps with less than 95 % identity."""
-    rows = O.window(O.orient(O.well_formed(pairs(spark, sf_dir))))
-    return O.realign(rows.where(O.identity() < 95.0), PipelineConfig(overlap_identity=95.0)).select("ordinal", "wx", "wy", "wxq", "wyq")
+    return O.realign(once(_oriented(spark, sf_dir), {"identity": O.identity()}).where("identity < 95"), PipelineConfig(overlap_identity=95.0)).select("ordinal", "wx", "wy", "wxq", "wyq")
 
 
 @query()
@@ -306,15 +226,18 @@ def primer_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.votes(clean(spark, sf_dir), options, "ordinal", F.substring("seq", 15, 20))
 
 
-@query()
+@query(f"""
+WITH {_CLEAN}, {Q.PRIMERS},
+cw AS (SELECT ordinal, substr(seq, fmin + 1, foff - fmin) AS w, CASE WHEN length(seq) >= foff THEN substr(seq, length(seq) - foff + 1, foff - fmin) END AS bw FROM clean, pc),
+{Q.exact("fe", "cw", "w", "F", "fwd")}, {Q.exact("be", "cw", "bw", "F", "rc")}, lost AS (SELECT ordinal, w FROM cw ANTI JOIN fe USING (ordinal) ANTI JOIN be USING (ordinal)),
+{Q.approximate("fa", "lost", "F", "fwd")} SELECT ordinal, primer_id, CAST(lcs AS INTEGER) AS lcs FROM fa WHERE primer_id IS NOT NULL""")
 def primer_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole window of each read in which the exact search finds no primer, in either direction."""
     found = P.load(table(spark, sf_dir, "primers"))
     rows = once(clean(spark, sf_dir), {"w": P.forward_window(found), "bw": P.tail_window(found, "F")})
     lost = P.exact(F.col("w"), found.of("F", "fwd")).isNull() & P.exact(F.col("bw"), found.of("F", "rc")).isNull()
-    rows = once(rows.where(lost), {"w": F.col("w")})
-    rows = rows.withColumn("a", P.approximate(found.of("F", "fwd"), PipelineConfig())("w"))
-    return once(rows, {"b": F.col("a")}).where("b.primer_id is not null").select("ordinal", "b.primer_id", "b.lcs")
+    rows = called(once(rows.where(lost), {"w": F.col("w")}), {"a": P.approximate(found.of("F", "fwd"), PipelineConfig())("w")})
+    return rows.where("a.primer_id is not null").select("ordinal", "a.primer_id", "a.lcs")
 
 
 @query("WITH " + _CLEAN + "SELECT ordinal, left(seq, 14) AS fbarcode, right(seq, 12) AS rbarcode FROM clean")
@@ -330,7 +253,7 @@ def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.strip(rows).select("ordinal", "seq", "qual")
 
 
-@query()
+@query(f"WITH {Q.PRIMERS}, {Q.merge()}, {Q.annotated()} SELECT ordinal, vprimer, cprimer, fbarcode, rbarcode, seq FROM an")
 def primer_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Primers and barcodes of merged pairs, approximate search included."""
     merged = O.merge_pairs(pairs(spark, sf_dir)).select("ordinal", "seq", "qual")
@@ -346,73 +269,23 @@ def primer_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # reference ------------------------------------------------------------------------------------------------------------
 
 
-_PLACED = _CLEAN + """,
-ref AS (SELECT ref_id, trim(ref_name) AS ref_name, upper(trim(seq)) AS ref FROM refs),
-st AS (SELECT ref_id, '+' AS strand, ref AS s FROM ref UNION ALL SELECT ref_id, '-', reverse(translate(ref, 'ACGT', 'TGCA')) FROM ref),
-ix AS (SELECT DISTINCT ref_id, strand, substr(s, k, 8) AS kmer FROM st, unnest(range(1, length(s) - 6)) AS u(k) WHERE regexp_full_match(substr(s, k, 8), '[ACGT]+')),
-rk AS (SELECT ordinal, substr(seq, k, 8) AS kmer FROM clean, unnest(range(35, length(seq) - 6)) AS u(k)),
-hit AS (SELECT ordinal, ref_id, strand, count(*) AS hits FROM rk JOIN ix USING (kmer) GROUP BY ALL),
-placed AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY hits DESC, ref_id, strand) = 1)
-"""
 def _insert() -> Column:
     """The read behind a barcode of 14 and a primer of 20 bases."""
     return F.substring(F.col("seq"), F.lit(35), F.length("seq"))
 
 
-@query("WITH " + _PLACED + "SELECT ordinal, ref_id, strand, hits FROM placed")
+@query(f"WITH {_CLEAN}, {Q.placed('clean', 35)} SELECT ordinal, ref_id, strand, hits FROM placed")
 def orient_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference and strand of each first read behind its primer, by shared 8-mers."""
-    return R.place(clean(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), "ordinal", _insert())
-
-
-def _ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads behind their primer beside the reference they belong to, position by position."""
-    refs = R.references(table(spark, sf_dir, "refs"))
-    reads = clean(spark, sf_dir).where(F.length("seq") > 34)
-    spots = R.place(reads, refs, "ordinal", _insert()).where("strand = '+'").select("ordinal", "ref_id")
-    rows = reads.join(spots, "ordinal").join(F.broadcast(refs), "ref_id")
-    n = F.least(F.length("seq") - 34, F.length("ref"))
-    return rows.withColumns({"ref_aln": F.left(F.col("ref"), n), "read_aln": F.substring(F.col("seq"), F.lit(35), n), "qual": F.substring(F.col("qual"), F.lit(35), n)})
-
-
-_UNGAPPED = _PLACED + """,
-al AS (
-  SELECT c.ordinal, r.ref_id, i AS pos, substr(ref, i, 1) AS r, substr(seq, 34 + i, 1) AS b, ascii(substr(qual, 34 + i, 1)) - 33 AS q
-  FROM clean c JOIN placed p ON c.ordinal = p.ordinal AND strand = '+' JOIN ref r ON r.ref_id = p.ref_id, unnest(range(1, least(length(seq) - 34, length(ref)) + 1)) AS u(i)
-  WHERE length(seq) > 34)
-"""
-_STATS = """,
-stats AS (
-  SELECT ref_id, pos - 1 AS ref_pos, count(*) AS n, sum(power(10, -q / 10.0)) AS mu, sqrt(sum(power(10, -q / 10.0) * (1 - power(10, -q / 10.0)))) AS sigma,
-         count_if(b = 'A') AS n_a, count_if(b = 'C') AS n_c, count_if(b = 'G') AS n_g, count_if(b = 'T') AS n_t FROM al GROUP BY 1, 2)
-"""
-
-
-@query("WITH " + _UNGAPPED + _STATS + "SELECT ref_id, CAST(ref_pos AS INTEGER) AS ref_pos, n, round(mu, 5) AS mu, round(sigma, 5) AS sigma, n_a, n_c, n_g, n_t FROM stats")
-def position_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.position_stats(_ungapped(spark, sf_dir)).withColumns({"mu": F.round("mu", 5), "sigma": F.round("sigma", 5)})
-
-
-@query("WITH " + _UNGAPPED + "SELECT ordinal, string_agg(CASE WHEN b = 'N' OR q < 30 THEN r ELSE b END, '' ORDER BY pos) AS seq FROM al GROUP BY 1")
-def correct_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.correct_base(_ungapped(spark, sf_dir)).select("ordinal", "seq")
-
-
-@query("WITH " + _UNGAPPED + _STATS + """,
-z AS (SELECT al.*, CASE WHEN sigma > 0 THEN (CASE b WHEN 'A' THEN n_a WHEN 'C' THEN n_c WHEN 'G' THEN n_g WHEN 'T' THEN n_t END + 0.5 - mu / 3) / (sigma / sqrt(3)) ELSE 1e9 END AS z
-      FROM al JOIN stats ON stats.ref_id = al.ref_id AND ref_pos = pos - 1)
-SELECT ordinal, string_agg(CASE WHEN b <> r AND b IN ('A', 'C', 'G', 'T') AND z < 1.645 THEN r ELSE b END, '' ORDER BY pos) AS seq FROM z GROUP BY 1""")
-def correct_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.correct_zscore(_ungapped(spark, sf_dir)).select("ordinal", "seq")
+    return R.placed(clean(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), _insert()).select("ordinal", "ref_id", "strand", "hits")
 
 
 def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = R.references(table(spark, sf_dir, "refs"))
     reads = clean(spark, sf_dir).where(F.length("seq") > 34).withColumns({"seq": _insert(), "qual": F.substring(F.col("qual"), F.lit(35), F.length("qual"))})
     config = PipelineConfig(mode="reference")
-    rows = reads.join(R.place(reads, refs, "ordinal", F.col("seq")).drop("hits"), "ordinal").join(F.broadcast(refs), "ref_id")
+    rows = R.turned(R.placed(reads, refs, F.col("seq"), config.kmer).join(refs, "ref_id"))
     back = F.col("strand") == "-"
-    rows = once(rows, {"seq": F.when(back, S.reverse_complement("seq")).otherwise(F.col("seq")), "qual": F.when(back, F.reverse("qual")).otherwise(F.col("qual"))})
     # reads end before the reference does: it is cut to what they can reach, turned ones from where they begin
     rows = once(rows, {"at": F.when(back, R.diagonal("seq", "ref", config.kmer)).otherwise(0), "whole": F.length("seq")})
     lead = F.greatest(-F.col("at"), F.lit(0))
@@ -423,60 +296,59 @@ def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.banded(rows, config)
 
 
-@query()
+_BANDED = f"WITH RECURSIVE {_CLEAN}, {Q.READY}, {Q.banded()}"
+
+
+@query(f"{_BANDED} SELECT ordinal, ref_id, ref_aln, read_aln, matches, mismatches, gaps FROM al")
 def banded_nw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _banded(spark, sf_dir).select("ordinal", "ref_id", "ref_aln", "read_aln", "matches", "mismatches", "gaps")
 
 
-@query()
+@query(f"""
+{_BANDED}, r AS (SELECT ordinal, {Q.CIGAR} AS cigar, ops, regexp_extract_all(ops, 'M+') AS runs FROM al)
+SELECT ordinal, cigar, CAST(length(replace(replace(ops, 'I', ''), 'D', '')) AS INTEGER) AS m, CAST(length(ops) - length(replace(ops, 'I', '')) AS INTEGER) AS i,
+       CAST(length(ops) - length(replace(ops, 'D', '')) AS INTEGER) AS d, CAST(list_max(list_transform(runs, lambda o: length(o))) AS INTEGER) AS longest_m FROM r""")
 def cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _banded(spark, sf_dir).select("ordinal", S.cigar("ref_aln", "read_aln").alias("cigar"))
     return rows.select("ordinal", "cigar", R.cigar_counts(F.col("cigar")).alias("c")).select("ordinal", "cigar", "c.*")
 
 
-@query()
+@query(f"""
+{_BANDED} SELECT 0 AS part, concat('@SQ\tSN:', ref_name, '\tLN:', length(ref)) AS value FROM ref
+UNION ALL SELECT 1, concat_ws('\t', title, '0', ref_name, ref_start + 1, '255', {Q.CIGAR}, '*', '0', '0', seq, qual) FROM al""")
 def sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sam_lines(R.sam(_banded(spark, sf_dir)), R.references(table(spark, sf_dir, "refs")))
 
 
-# The SQL of position_stats, correct_base and correct_zscore can only follow reads set beside the reference without
-# gaps. Those below start from the alignment; errors are judged within job and reference.
-
-
-@query()
-def position_stats_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(Q.job(f"{_BANDED}, {Q.cells()}, {Q.STATS} SELECT job_id, ref_id, ref_pos, n, round(mu, 5) AS mu, round(sigma, 5) AS sigma, n_a, n_c, n_g, n_t FROM stats"))
+def position_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of each job, reference and position, from the alignments."""
     return R.position_stats(_banded(spark, sf_dir), [JOB, "ref_id"]).withColumns({"mu": F.round("mu", 5), "sigma": F.round("sigma", 5)})
 
 
-@query()
-def correct_base_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{_BANDED}, {Q.cells()} SELECT ordinal, string_agg(CASE WHEN op = 'M' AND (b = 'N' OR q < 30) THEN r WHEN b = '-' THEN '' ELSE b END, '' ORDER BY pos) AS seq FROM cell GROUP BY 1")
+def correct_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.correct_base(_banded(spark, sf_dir)).select("ordinal", "seq")
 
 
-@query()
-def correct_zscore_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.correct_zscore(_banded(spark, sf_dir), [JOB, "ref_id"]).select("ordinal", "seq")
+@query(f"{_BANDED}, {Q.cells()}, {Q.STATS}, {Q.ZSCORE} SELECT ordinal, seq FROM fixed")
+def correct_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correction within job and reference."""
+    return R.correct_zscore(stage(_banded(spark, sf_dir), "aligned"), [JOB, "ref_id"]).select("ordinal", "seq")
 
 
 # aggregation ----------------------------------------------------------------------------------------------------------
 
 
 _PRIMED = _TITLED + ", primed AS (SELECT * FROM titled WHERE vprimer IS NOT NULL AND cprimer IS NOT NULL)"
-_GOOD = _PRIMED + """,
-mq AS (SELECT ordinal, sum(ascii(substr(qual, i, 1)) - 33) // count(*) AS mq FROM primed, unnest(range(1, length(qual) + 1)) AS u(i) GROUP BY 1),
-good AS (SELECT primed.* FROM primed JOIN mq USING (ordinal) WHERE mq >= 25)
-"""
+_GOOD = f"{_PRIMED}, {Q.good('primed')}"
 
 
 def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.filter_quality(clean(spark, sf_dir).where("vprimer is not null and cprimer is not null"), 25)
 
 
-@query("WITH " + _GOOD + """,
-heads AS (SELECT vprimer, cprimer, seq, count(*) AS dupcount, min(ordinal) AS first_ordinal, min_by(title, ordinal) AS title FROM good GROUP BY ALL),
-qs AS (SELECT vprimer, cprimer, seq, i, round_even(avg(ascii(substr(qual, i, 1)) - 33), 0) AS q FROM good, unnest(range(1, length(qual) + 1)) AS u(i) GROUP BY ALL),
-qj AS (SELECT vprimer, cprimer, seq, string_agg(chr(CAST(q AS INTEGER) + 33), '' ORDER BY i) AS qual FROM qs GROUP BY ALL)
-SELECT * FROM heads JOIN qj USING (vprimer, cprimer, seq)""")
+@query(f"WITH {_GOOD}, {Q.collapsed('primed_good', pipelines.KEYS)} SELECT * FROM col")
 def collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.collapse(_good(spark, sf_dir), ["vprimer", "cprimer"])
 
@@ -495,38 +367,20 @@ def modal_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.modal_length(_barcoded(spark, sf_dir), pipelines.BARCODE_KEYS)
 
 
-_CONSENSUS = _BARCODED + f""",
-modal AS (SELECT {_G}, len, n FROM (SELECT {_G}, length(seq) AS len, count(*) AS n FROM bar GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_G} ORDER BY n DESC, len DESC) = 1),
-firsts AS (SELECT {_G}, min_by(title, ordinal) AS title, min(ordinal) AS first_ordinal FROM bar GROUP BY ALL),
-ch AS (SELECT {_G}, n, i, substr(seq, i, 1) AS b, ascii(substr(qual, i, 1)) - 33 AS q FROM bar JOIN modal USING ({_G}), unnest(range(1, len + 1)) AS u(i) WHERE length(seq) = len),
-lg AS (SELECT *, CASE WHEN q = 0 THEN 0.0 ELSE log10(1 - power(10, -q / 10.0)) END AS lq, CASE WHEN q = 0 THEN 0.0 ELSE log10(power(10, -q / 10.0) / 3) END AS le FROM ch),
-bs(x, o) AS (VALUES ('A', 0), ('T', 1), ('C', 2), ('G', 3)),
-ll AS (SELECT {_G}, n, i, x, o, sum(CASE WHEN b = x THEN lq ELSE le END) AS l, count_if(b = x) AS k FROM lg, bs GROUP BY ALL),
-mx AS (SELECT *, max(l) OVER (PARTITION BY {_G}, i) AS top FROM ll),
-po AS (SELECT *, power(10, l - top) / sum(power(10, l - top)) OVER (PARTITION BY {_G}, i) AS p FROM mx),
-pk AS (SELECT {_G}, i, any_value(n) AS n, min_by(x, (-p, o)) FILTER (k > 0) AS b1, max(p) FILTER (k > 0) AS p1,
-         max(CASE WHEN k > 0.95 * n THEN x END) AS b2, max(CASE WHEN k > 0.95 * n THEN power(10, l / k) END) AS p2 FROM po GROUP BY ALL),
-cl AS (SELECT {_G}, n, i, coalesce(b2, b1, 'N') AS b, CAST(floor(-10 * log10(greatest(0.000079, 1 - coalesce(p2, p1, 0.0))) + 0.5) AS INTEGER) AS q FROM pk),
-cons AS (SELECT {_G}, string_agg(b, '' ORDER BY i) AS seq, string_agg(chr(q + 33), '' ORDER BY i) AS qual, any_value(n) AS conscount FROM cl GROUP BY ALL)
-"""
+_CONSENSUS = f"{_BARCODED}, {Q.consensus('cf', 'bar', pipelines.BARCODE_KEYS)}"
 
 
-@query("WITH " + _CONSENSUS + f"SELECT * FROM cons JOIN firsts USING ({_G})")
+@query("WITH " + _CONSENSUS + "SELECT * FROM cf")
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.consensus(_barcoded(spark, sf_dir), pipelines.BARCODE_KEYS)
 
 
-@query("WITH " + _CONSENSUS + f""",
-cf AS (SELECT * FROM cons JOIN firsts USING ({_G})),
-rh AS (SELECT vprimer, cprimer, seq, count(*) AS dupcount, CAST(sum(conscount) AS BIGINT) AS conscount, min_by(title, first_ordinal) AS title, min(first_ordinal) AS first_ordinal FROM cf GROUP BY ALL),
-rq AS (SELECT vprimer, cprimer, seq, i, round_even(sum((ascii(substr(qual, i, 1)) - 33) * conscount) / sum(conscount), 0) AS q FROM cf, unnest(range(1, length(qual) + 1)) AS u(i) GROUP BY ALL),
-rj AS (SELECT vprimer, cprimer, seq, string_agg(chr(CAST(q AS INTEGER) + 33), '' ORDER BY i) AS qual FROM rq GROUP BY ALL)
-SELECT * FROM rh JOIN rj USING (vprimer, cprimer, seq)""")
+@query(f"WITH {_CONSENSUS}, {Q.recollapsed('cf', pipelines.KEYS)} SELECT * FROM again")
 def recollapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.recollapse(C.consensus(_barcoded(spark, sf_dir), pipelines.BARCODE_KEYS), ["vprimer", "cprimer"])
+    return C.recollapse(stage(C.consensus(_barcoded(spark, sf_dir), pipelines.BARCODE_KEYS), "consensuses"), pipelines.KEYS)
 
 
-@query("WITH " + _GOOD + "SELECT vprimer, cprimer, count(*) AS reported FROM good GROUP BY ALL")
+@query("WITH " + _GOOD + "SELECT vprimer, cprimer, count(*) AS reported FROM primed_good GROUP BY ALL")
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads behind all collapsed records: the sum of their counts."""
     made = C.collapse(_good(spark, sf_dir), ["vprimer", "cprimer"])
@@ -538,9 +392,8 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _within_jobs(sql: str) -> str:
     """SQL of a query above with the job among its keys; no job is a job as well, in joins too."""
-    keyed = sql.replace("vprimer, cprimer", "job_id, vprimer, cprimer")
-    job = keyed.replace("forward_barcode AS fbarcode", "coalesce('=' || job_id, '') AS job_id, forward_barcode AS fbarcode")
-    return f"SELECT * REPLACE (CASE WHEN job_id <> '' THEN substr(job_id, 2) END AS job_id) FROM ({job})"
+    keyed = sql.replace("vprimer, cprimer", "job_id, vprimer, cprimer").replace("SELECT ordinal, job_id, read_name", "SELECT ordinal, coalesce('=' || job_id, '') AS job_id, read_name")
+    return Q.job(keyed)
 
 
 _JOB_KEYS = [JOB, *pipelines.KEYS]
@@ -564,7 +417,7 @@ def consensus_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_within_jobs(SQL["recollapse"]))
 def recollapse_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.recollapse(C.consensus(_barcoded(spark, sf_dir), _JOB_BARCODE_KEYS), _JOB_KEYS)
+    return C.recollapse(stage(C.consensus(_barcoded(spark, sf_dir), _JOB_BARCODE_KEYS), "consensuses"), _JOB_KEYS)
 
 
 @query(_within_jobs(SQL["totals"]))
@@ -579,30 +432,52 @@ def _primers(spark: SparkSession, sf_dir: str) -> P.Primers:
     return P.load(table(spark, sf_dir, "primers"))
 
 
-@query()
+_KEYED, _KEYED_BARCODES = [JOB, *pipelines.KEYS], [JOB, *pipelines.BARCODE_KEYS]
+
+
+@query(Q.job(f"WITH {Q.prepared()}, {Q.collapsed('pt', _KEYED)} SELECT * FROM col"))
 def pipeline_referenceless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.referenceless(pairs(spark, sf_dir), _primers(spark, sf_dir))
 
 
-@query()
+@query(Q.job(f"WITH {Q.prepared(True)}, {Q.consensus('cf', 'pt', _KEYED_BARCODES)}, {Q.recollapsed('cf', _KEYED, True)} SELECT * FROM again"))
 def pipeline_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Referenceless with barcode consensus, collapsed again."""
     return pipelines.referenceless(pairs(spark, sf_dir), _primers(spark, sf_dir), PipelineConfig(barcoded=True, dupcount=True, print_barcode=True))
 
 
-@query()
+_PREPARED = f"{Q.PRIMERS}, {Q.merge('(SELECT greatest(foff, roff) FROM pc)')}, {Q.annotated()}, {Q.STRIPPED}"
+_GUIDED = f"WITH RECURSIVE {_PREPARED}, {Q.GUIDED}, {Q.banded(1.5)}, {Q.good('al')}"
+
+
+@query(Q.job(f"""
+{_GUIDED}, {Q.cells('al_good')}, {Q.STATS}, {Q.ZSCORE},
+done AS (SELECT al_good.* REPLACE (fixed.seq AS seq), name || '|VPRIMER=' || vprimer || '|CPRIMER=' || cprimer AS title, {Q.CIGAR} AS cigar FROM al_good JOIN fixed USING (ordinal)),
+{Q.collapsed('done', [*_KEYED, 'ref_name', 'cigar'])} SELECT * FROM col"""))
 def pipeline_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads here carry a joint behind the part that the reference covers, hence the wider ratio of lengths."""
     config = PipelineConfig(mode="reference", length_ratio=1.5)
     return pipelines.guided(pairs(spark, sf_dir), _primers(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), config)
 
 
-@query()
+@query(Q.job(f"""
+{_GUIDED}, done AS (SELECT *, name || '|CIGAR=' || {Q.CIGAR} || '|VPRIMER=' || vprimer || '|CPRIMER=' || cprimer AS title, {Q.CIGAR} AS cigar FROM al_good),
+{Q.consensus('cf', 'done', _KEYED_BARCODES, extra=['cigar'])} SELECT * FROM cf"""))
+def pipeline_reference_barcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference-guided with barcode consensus: groups are of primers and barcodes, whatever their reads' CIGARs."""
+    config = PipelineConfig(mode="reference", length_ratio=1.5, barcoded=True)
+    return pipelines.guided(pairs(spark, sf_dir), _primers(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), config)
+
+
+@query(Q.job(f"""
+WITH {Q.PRIMERS}, {Q.SIDES}, {Q.merge(src='sides')}
+SELECT st.job_id, fbarcode, rbarcode, name1 AS title, ordinal AS first_ordinal, st.seq, st.qual, conscount FROM st JOIN sides USING (ordinal)"""))
 def pipeline_barcode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.barcode_first(pairs(spark, sf_dir), _primers(spark, sf_dir))
 
 
-@query()
+@query(f"""
+SELECT job_id, concat('@', title, '|DUPCOUNT=', dupcount, chr(10), seq, chr(10), '+', chr(10), qual) AS value FROM ({SQL['collapse_by_job']})""")
 def output_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of reads collapsed within their job, as FASTQ."""
     return sinks.collapsed(C.collapse(_good(spark, sf_dir), _JOB_KEYS), fastq=True)

@@ -15,7 +15,12 @@ def _record(head: Column, fastq: bool, compat: bool) -> Column:
 
 def title(barcode: bool = False) -> Column:
     """Display name with primers, and with the barcodes if asked."""
-    parts = [F.col("name"), F.lit("|VPRIMER="), F.col("vprimer"), F.lit("|CPRIMER="), F.col("cprimer")]
+    return F.concat(F.col("name"), title_tail(barcode))
+
+
+def title_tail(barcode: bool = False) -> Column:
+    """What follows the name in a title."""
+    parts = [F.lit("|VPRIMER="), F.col("vprimer"), F.lit("|CPRIMER="), F.col("cprimer")]
     if barcode:
         parts += [F.lit("|BARCODE="), F.col("fbarcode"), F.lit("/"), F.col("rbarcode")]
     return F.concat(*parts)
@@ -54,6 +59,12 @@ def sam_lines(records: DataFrame, refs: DataFrame) -> DataFrame:
     return head.unionByName(records.select(F.lit(1).alias("part"), F.concat_ws("\t", *[F.col(c).cast("string") for c in records.columns]).alias("value")))
 
 
+def with_references(lines: DataFrame, refs: DataFrame, fastq: bool = False, compat: bool = False) -> DataFrame:
+    """The references' records before all others."""
+    head = refs.select(F.lit(0).alias("part"), _record(F.col("title"), fastq, compat).alias("value"))
+    return head.unionByName(lines.select(F.lit(1).alias("part"), "value"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """A folder of text files, in order of the parts' names; an existing folder is replaced."""
     lines.select("value").write.mode("overwrite").text(path)
