@@ -60,10 +60,10 @@ class ShardPlan:
         return out
 
 
-def _text_key(keys: Sequence[str]) -> Column:
+def _text_key(df: DataFrame, keys: Sequence[str]) -> Column:
     """One string for a composite key; the length before each part keeps different keys apart."""
-    parts = [F.concat_ws(":", F.length(F.col(k).cast("string")).cast("string"), F.col(k).cast("string")) for k in keys]
-    return F.concat_ws("|", *parts)
+    texts = [F.when(F.col(k).isNotNull(), F.hex(k) if isinstance(df.schema[k].dataType, T.BinaryType) else F.col(k).cast("string")) for k in keys]
+    return F.concat_ws("|", *[F.concat_ws(":", F.length(t).cast("string"), t) for t in texts])
 
 
 def _null_key(keys: Sequence[str]) -> Column:
@@ -101,7 +101,7 @@ def plan_shards(df: DataFrame, keys: Sequence[str], bins: int | None = None) ->
 
     No more than ``bins / HEAVY_SHARE`` keys can have a share that is placed by itself, so that many are asked for, of
     a summary whose error (3.5 / tracked items of all rows) lies below that share; the driver receives no more."""
-    key = F.when(_null_key(keys), None).otherwise(_text_key(keys))
+    key = F.when(_null_key(keys), None).otherwise(_text_key(df, keys))
     most = bins or tasks(df.sparkSession)
     tracked = min(MOST_TRACKED, max(TRACKED, TRACKED_PER_TASK * most))
     found = df.select(key.alias(KEY)).agg(
@@ -114,6 +114,12 @@ def plan_shards(df: DataFrame, keys: Sequence[str], bins: int | None = None) ->
     return pack(loads, found["keyed"], bins)
 
 
+def plan_counts(counts: DataFrame, keys: Sequence[str], n: str, total: int, bins: int) -> ShardPlan:
+    """The plan from a table of keys with their exact numbers of rows; the driver receives as many as can be heavy."""
+    top = counts.select(_text_key(counts, keys).alias(KEY), n).where(F.col(n) >= HEAVY_SHARE * total / bins).orderBy(F.desc(n)).limit(math.ceil(bins / HEAVY_SHARE)).collect()
+    return pack({r[KEY]: r[n] for r in top}, total, bins)
+
+
 def _place(df: DataFrame, keys: Sequence[str], plan: ShardPlan, spread: Column | None) -> DataFrame:
     """Add key text, shard, task and whether the key is split. spread: what chooses among a key's shards; None copies
     rows to every shard.
@@ -123,7 +129,7 @@ def _place(df: DataFrame, keys: Sequence[str], plan: ShardPlan, spread: Column |
     schema = T.StructType([T.StructField(KEY, T.StringType()), T.StructField("__places", T.ArrayType(T.IntegerType()))])
     placed = spark.createDataFrame(list(plan.heavy.items()) or [], schema)
     slices = spark.createDataFrame(list(enumerate(plan.light)), "__slot int, __light int")
-    out = df.withColumn(KEY, _text_key(keys)).join(F.broadcast(placed), KEY, "left")
+    out = df.withColumn(KEY, _text_key(df, keys)).join(F.broadcast(placed), KEY, "left")
     out = out.withColumn("__slot", F.pmod(F.xxhash64(KEY), F.lit(len(plan.light))).cast("int")).join(F.broadcast(slices), "__slot")
     light = F.array("__light")
     if spread is not None:  # rows with a null key match nothing, so they are spread instead of sharing one task
