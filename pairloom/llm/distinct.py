@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -31,28 +31,37 @@ def merge(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def bucket_counts(found: DataFrame, groups: Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
-    """Exact counts within each bucket for each combination of ``sets`` of group columns: ``level`` (the combined
-    columns' names joined by ``+``, or ``all``), the group columns (null where not combined), ``bucket``, ``n``."""
-    levels = F.array(*[
-        F.struct(F.lit("+".join(s) or "all").alias("level"), *[(F.col(g) if g in s else F.lit(None).cast(found.schema[g].dataType)).alias(g) for g in groups])
-        for s in sets
-    ])
-    each = found.select("bucket", "identifier", F.explode(levels).alias("x")).select("bucket", "identifier", "x.*").distinct()
-    return each.groupBy("level", *groups, "bucket").agg(F.count(F.lit(1)).alias("n"))
+def bucket_counts(found: DataFrame, groups: Sequence[str], sets: Sequence[Sequence[str]], combined: Sequence[str] = ()) -> DataFrame:
+    """Exact counts within each bucket: ``level``, the group columns (null where not part of the level), ``combination``,
+    ``bucket``, ``n``. A level is a set of group columns, named by them joined with ``+`` (``all`` for none), or, for
+    columns in ``combined``, ``combination of`` the column: there each identifier counts once, for all the groups that it
+    is in, sorted and joined by commas.
 
+    The deduplicated pairs of a bucket meet in one task, and every level is counted there: no level is shuffled. What
+    an identifier gathers is bounded by the number of groups."""
+    kinds = {g: found.schema[g].dataType for g in groups}
 
-def distinct_counts(df: DataFrame, identifier: str, groups: Sequence[str], sets: Sequence[Sequence[str]], buckets: int = BUCKETS) -> DataFrame:
-    """``level``, the group columns and ``n_distinct``: the exact number of distinct identifiers of every group of
-    every set. An empty table gives no rows. Identifiers compare as stored. Other columns are not read."""
-    counts = bucket_counts(pairs(df, identifier, groups, buckets), groups, sets)
-    return counts.groupBy("level", *groups).agg(F.sum("n").alias("n_distinct"))
+    def row(level: str, of: dict[str, Column], combination: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), *[of.get(g, F.lit(None)).cast(kinds[g]).alias(g) for g in groups], combination.alias("combination"))
 
+    none = F.lit(None).cast("string")
+    def of_set(s: Sequence[str]) -> Column:
+        return F.array_distinct(F.transform("of", lambda x: row("+".join(s) or "all", {g: x[g] for g in s}, none)))
 
-def combinations(df: DataFrame, identifier: str, group: str, buckets: int = BUCKETS) -> DataFrame:
-    """For each exact combination of groups that some identifiers have in common, how many have it: ``combination``
-    (sorted groups) and ``n_distinct``. The number of any union or intersection of groups is a sum of these rows.
-    Null groups are left out; the list of an identifier is bounded by the number of groups."""
-    found = pairs(df, identifier, [group], buckets).where(F.col(group).isNotNull())
-    each = found.groupBy("bucket", "identifier").agg(F.sort_array(F.collect_set(group)).alias("combination"))
-    return each.groupBy("combination", "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy("combination").agg(F.sum("n").alias("n_distinct"))
+    def of_combination(g: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.filter(F.transform("of", lambda x: x[g].cast("string")), lambda v: v.isNotNull())))
+        return F.filter(F.array(row(f"combination of {g}", {}, F.array_join(names, ","))), lambda x: x["combination"] != "")
+
+    levels = [*map(of_set, sets), *map(of_combination, combined)]
+    each = found.repartition("bucket").groupBy("bucket", "identifier").agg(F.collect_set(F.struct(*groups)).alias("of"))
+    each = each.select("bucket", F.explode(F.flatten(F.array(*levels))).alias("x")).select("bucket", "x.*")
+    return each.groupBy("bucket", "level", *groups, "combination").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_counts(df: DataFrame, identifier: str, groups: Sequence[str], sets: Sequence[Sequence[str]], combined: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """``level``, the group columns, ``combination`` and ``n_distinct``: the exact number of distinct identifiers of every
+    group of every set, and of every combination of groups that identifiers have in common (see :func:`bucket_counts`).
+    The number of any union or intersection of groups is a sum of combinations. Null groups are groups, but no part of
+    combinations. An empty table gives no rows. Identifiers compare as stored. Other columns are not read."""
+    counts = bucket_counts(pairs(df, identifier, groups, buckets), groups, sets, combined)
+    return counts.groupBy("level", *groups, "combination").agg(F.sum("n").alias("n_distinct"))

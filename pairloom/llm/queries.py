@@ -46,7 +46,7 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct.distinct_counts(_days(spark, sf_dir), "forward_barcode", ["day", "job_id"], _SETS)
+    return distinct.distinct_counts(_days(spark, sf_dir), "forward_barcode", ["day", "job_id"], _SETS, ["job_id"])
 
 
 def p6_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ def p6_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = distinct.combinations(table(spark, sf_dir, "read_pair"), "forward_barcode", "job_id")
-    return found.select(F.concat_ws(",", "combination").alias("combination"), "n_distinct")
+    """Days and jobs that barcodes have in common."""
+    found = distinct.distinct_counts(_days(spark, sf_dir), "forward_barcode", ["day", "job_id"], [], ["day", "job_id"])
+    return found.select("level", "combination", "n_distinct")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,22 +132,27 @@ SELECT DISTINCT first_ordinal, fbc_ordinal, rbc_ordinal, qual_ordinal FROM k"""
 
 _TOP = "SELECT readseq_first, count(*) AS n_rows FROM read_pair WHERE readseq_first IS NOT NULL GROUP BY 1 ORDER BY n_rows DESC, readseq_first LIMIT 20"
 
+_DAYS = "WITH d AS (SELECT CAST(CAST(sequenced_at AS DATE) AS VARCHAR) AS day, job_id, forward_barcode FROM read_pair WHERE forward_barcode IS NOT NULL)"
+_COMBINED = "{name} AS (SELECT forward_barcode, string_agg(DISTINCT {group}, ',' ORDER BY {group}) AS combination FROM d WHERE {group} IS NOT NULL GROUP BY 1)"
+
 SQL = {
     "p2_counts": _TOP,
     "p2_found": f"SELECT readseq_first FROM ({_TOP})",
     "p3_found": _NORMAL + "SELECT first_ordinal, ordinal FROM f WHERE ordinal <> first_ordinal",
     "p3_groups": _NORMAL + "SELECT first_ordinal, count(*) AS n_copies FROM f GROUP BY 1",
     "p4_found": _CLUSTERS,
-    "p6_distinct": """
-WITH d AS (SELECT CAST(CAST(sequenced_at AS DATE) AS VARCHAR) AS day, job_id, forward_barcode FROM read_pair WHERE forward_barcode IS NOT NULL)
-SELECT 'day+job_id' AS level, day, job_id, count(DISTINCT forward_barcode) AS n_distinct FROM d GROUP BY day, job_id
-UNION ALL SELECT 'day', day, NULL, count(DISTINCT forward_barcode) FROM d GROUP BY day
-UNION ALL SELECT 'job_id', NULL, job_id, count(DISTINCT forward_barcode) FROM d GROUP BY job_id
-UNION ALL SELECT 'all', NULL, NULL, count(DISTINCT forward_barcode) FROM d""",
+    "p6_distinct": f"""
+{_DAYS}, {_COMBINED.format(name="c", group="job_id")}
+SELECT 'day+job_id' AS level, day, job_id, NULL AS combination, count(DISTINCT forward_barcode) AS n_distinct FROM d GROUP BY day, job_id
+UNION ALL SELECT 'day', day, NULL, NULL, count(DISTINCT forward_barcode) FROM d GROUP BY day
+UNION ALL SELECT 'job_id', NULL, job_id, NULL, count(DISTINCT forward_barcode) FROM d GROUP BY job_id
+UNION ALL SELECT 'all', NULL, NULL, NULL, count(DISTINCT forward_barcode) FROM d
+UNION ALL SELECT 'combination of job_id', NULL, NULL, combination, count(*) FROM c GROUP BY combination""",
     "p6_partials": "SELECT job_id, count(DISTINCT forward_barcode) AS n_distinct FROM read_pair WHERE forward_barcode IS NOT NULL GROUP BY 1",
-    "p6_combinations": """
-WITH c AS (SELECT forward_barcode, string_agg(DISTINCT job_id, ',' ORDER BY job_id) AS combination FROM read_pair WHERE forward_barcode IS NOT NULL AND job_id IS NOT NULL GROUP BY 1)
-SELECT combination, count(*) AS n_distinct FROM c GROUP BY 1""",
+    "p6_combinations": f"""
+{_DAYS}, {_COMBINED.format(name="c", group="job_id")}, {_COMBINED.format(name="e", group="day")}
+SELECT 'combination of job_id' AS level, combination, count(*) AS n_distinct FROM c GROUP BY combination
+UNION ALL SELECT 'combination of day', combination, count(*) FROM e GROUP BY combination""",
     "p8_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
