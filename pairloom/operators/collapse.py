@@ -30,10 +30,12 @@ def _group_id(keys: Sequence[str]) -> Column:
 
 
 def _grouped(rows: DataFrame, group: Sequence[str], title: str, order: str, kind: Kind, weight: Column, extra: Sequence[str] = ()) -> DataFrame:
-    """Fold ``rows`` by ``group``; the groups' columns, ``title`` and ``extra`` come from the first row by ``order``."""
-    cols = list(dict.fromkeys([*group, *extra]))
-    rows = rows.select(*cols, F.col(title).alias("title"), F.col(order).alias("first_ordinal"), "seq", "qual", weight.cast("long").alias("weight"), _group_id(group).alias("gid"))
-    heads = {c: rows.schema[c].dataType for c in [*cols, "title", "first_ordinal"] if c != "seq"}
+    """Fold ``rows`` by ``group``; the groups' columns, ``title`` and ``extra`` come from the first row by ``order``. Missing
+    qualities count as ``!``, and those beyond a read's end don't count; rows without a ``seq`` are left out."""
+    cols = [c for c in dict.fromkeys([*group, *extra]) if c != "seq"]
+    qual = F.rpad(F.coalesce("qual", F.lit("")), F.length("seq"), "!").alias("qual")
+    rows = rows.where("seq is not null").select(*cols, F.col(title).alias("title"), F.col(order).alias("first_ordinal"), "seq", qual, weight.cast("long").alias("weight"), _group_id(group).alias("gid"))
+    heads = {c: rows.schema[c].dataType for c in [*cols, "title", "first_ordinal"]}
     return fold(rows, kind, heads)
 
 
@@ -52,10 +54,9 @@ _MEAN = Kind(3, ("seq", "qual"), _qualities, _mean_quality)
 
 def collapse(reads: DataFrame, keys: Sequence[str], title: str = "title", order: str = "ordinal", least: int = 0) -> DataFrame:
     """Equal reads with equal ``keys`` become one: the keys, ``seq``, ``dupcount``, ``title`` of the first read by
-    ``order``, and ``qual``, the mean quality of each base, halves to even. Null keys are keys; empty reads take no
-    part; an empty table gives no rows."""
-    rows = reads.where((F.length("seq") > 0) & (F.length("seq") == F.length("qual")))
-    out = _grouped(rows, [*keys, "seq"], title, order, _MEAN, F.lit(1)).where(F.col("n_rows") >= least)
+    ``order``, and ``qual``, the mean quality of each base, halves to even. Null keys are keys, and empty reads are
+    reads; an empty table gives no rows."""
+    out = _grouped(reads, [*keys, "seq"], title, order, _MEAN, F.lit(1)).where(F.col("n_rows") >= least)
     return out.select(*keys, "seq", F.col("n_rows").alias("dupcount"), "first_ordinal", "title", "qual")
 
 
@@ -108,7 +109,7 @@ def consensus(reads: DataFrame, keys: Sequence[str], title: str = "title", order
     At each position a base with a share above CLEAR is taken, its chance the geometric mean of its reads'; else the
     base of the greatest posterior.
     """
-    rows = reads.dropna(subset=[k for k in keys if k != "job_id"]).where((F.length("seq") > 0) & (F.length("seq") == F.length("qual")))
+    rows = reads.dropna(subset=[k for k in keys if k != "job_id"]).where(F.length("seq") > 0)
     kind = Kind(10, ("seq", "qual"), _evidence, _verdict(shortcut))
     lengths = _grouped(rows, keys, title, order, kind, F.lit(1), extra)
     head = F.min(F.struct(F.col("first_ordinal").isNull(), "first_ordinal", "title", *keys, *extra)).alias("h")

@@ -25,6 +25,8 @@ from pairloom.staging import stage, tasks
 
 #: Cells of a matrix of reads and positions that are worked on at once.
 CELLS = 1 << 20
+#: Qualities count from 0 to this; whatever else stands in a quality string counts as the nearest.
+MOST = 93
 
 
 @dataclass(frozen=True)
@@ -59,8 +61,8 @@ def _parts(b: pa.RecordBatch, kind: Kind) -> Iterator[tuple[pa.RecordBatch, np.n
                 cells[:, i, : size[lo + i]] = np.frombuffer(raw, np.int64).reshape(kind.names, -1)
         else:
             texts = [part.column(c).to_pylist() for c in ("seq", "qual")]
-            wide = not all(t.isascii() for t in texts[0])
-            cells = kind.evidence(padded(texts[0], 0, wide)[0], padded(texts[1], 33)[0].astype(np.int64) - 33, part.column("weight").to_numpy().astype(np.int64))
+            reads, quals = (padded(t, 33, not all(map(str.isascii, t)))[0] for t in texts)
+            cells = kind.evidence(reads, np.clip(quals.astype(np.int64) - 33, 0, MOST), part.column("weight").to_numpy().astype(np.int64))
         yield part, size[lo:hi], cells
 
 
@@ -103,7 +105,7 @@ def _fold(kind: Kind, heads: Sequence[str], schema: pa.Schema, last: bool) -> Ca
 
 
 def fold(rows: DataFrame, kind: Kind, heads: Mapping[str, T.DataType], order: str = "first_ordinal") -> DataFrame:
-    """A row for each ``gid`` and length of ``rows`` (``gid``, ``seq``, ``qual`` of the same length, ``weight`` and the
+    """A row for each ``gid`` and length of ``rows`` (``gid``, ``seq`` and ``qual`` of the same length, ``weight`` and the
     columns ``heads``): ``gid``, ``len``, ``n_rows``, ``weight`` (their sum), the ``heads`` of the first row by ``order``
     (nulls last), and the texts of ``kind``."""
     plan = skew.plan_shards(rows, ["gid"], tasks(rows.sparkSession))

@@ -123,8 +123,8 @@ def _placer(shared, k: int, window: int):  # noqa: ANN001, ANN202
     return run
 
 
-def placed(reads: DataFrame, refs: DataFrame, part: Column, k: int = 8, window: int = 0, first: Column | None = None, key: str = "ordinal") -> DataFrame:
-    """``reads`` with ``ref_id``, ``strand`` and ``hits``: the reference that shares most k-mers with a part of the read on
+def placed(reads: DataFrame, refs: DataFrame, part: Column, k: int = 8, window: int = 0, first: Column | None = None, key: str = "ordinal", take: Sequence[str] = ()) -> DataFrame:
+    """``reads`` with ``ref_id``, ``strand``, ``hits`` and the columns ``take`` of the reference: the reference that shares most k-mers with a part of the read on
     one strand, the lowest id among equals, forward before reverse. Reads without hits are dropped, k-mers with other
     letters than ACGT count nowhere.
 
@@ -133,12 +133,14 @@ def placed(reads: DataFrame, refs: DataFrame, part: Column, k: int = 8, window:
     longer ones are joined by k-mer (``key`` must be unique, and the whole part decides on the strand)."""
     spark = reads.sparkSession
     if (refs.agg(F.sum(F.length("ref"))).head()[0] or 0) > MAX_REFERENCE:
-        return reads.join(place(reads, refs, key, part, k), key)
+        found = reads.join(place(reads, refs, key, part, k), key)
+        return found.join(refs.select("ref_id", *take), "ref_id") if take else found
     known = [(r["ref_id"], r["ref"]) for r in refs.where("ref_id is not null and ref is not null").orderBy("ref_id").collect()]
     # plain values, so that tasks can read them wherever this package lies
     shared = spark.sparkContext.broadcast(tuple(_kmer_table(known, k)))
     found = called(reads, {"__spot": _placer(shared, k, window)(part, F.lit(0) if first is None else first)}).where("__spot.ref is not null")
-    return found.select(*reads.columns, F.col("__spot.ref").cast(refs.schema["ref_id"].dataType).alias("ref_id"), "__spot.strand", "__spot.hits")
+    found = found.select(*reads.columns, F.col("__spot.ref").cast(refs.schema["ref_id"].dataType).alias("ref_id"), "__spot.strand", "__spot.hits")
+    return found.join(F.broadcast(refs.select("ref_id", *take)), "ref_id") if take else found  # their size is checked above
 
 
 def place(reads: DataFrame, refs: DataFrame, key: str, part: Column, k: int = 8) -> DataFrame:

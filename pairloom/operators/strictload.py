@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.steps import once
+
 FIELDS = (
     "job_id", "read_name_first", "forward_primer", "forward_barcode", "readseq_first", "quality_first",
     "read_name_second", "reverse_primer", "reverse_barcode", "readseq_second", "quality_second",
@@ -37,7 +39,9 @@ def _unquoted(c: Column) -> Column:
 def strict_load(raw: DataFrame, offset: str = "raw_id", line: str = "line") -> DataFrame:
     """Lines that the strict pattern accepts and whose reads and qualities are valid: ``offset`` and the eleven fields."""
     short = raw.where(F.col(offset).isNotNull() & (F.length(line) <= STRICT_CHARS) & F.col(line).rlike(_STRICT))
-    got = short.select(offset, *[_unquoted(F.regexp_extract(line, _STRICT, i + 1)).alias(c) for i, c in enumerate(FIELDS)])
+    # one pass for all fields of a line that conforms; the pattern is not run again for each
+    cells = once(short, {"__cells": F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_FIELD + ","), 1)})
+    got = once(cells, {c: _unquoted(F.col("__cells")[i]) for i, c in enumerate(FIELDS)}).select(offset, *FIELDS)
     ok = F.lit(True)
     for s, q in (("readseq_first", "quality_first"), ("readseq_second", "quality_second")):
         ok = ok & F.col(s).rlike(_SEQ) & F.col(q).rlike(_QUAL) & (F.length(s) == F.length(q))

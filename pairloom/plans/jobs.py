@@ -11,7 +11,7 @@ from pairloom.config import PipelineConfig
 from pairloom.operators import primers, reference
 from pairloom.plans import pipelines
 from pairloom.sources import files, sinks
-from pairloom.staging import stage
+from pairloom.staging import scratch, stage
 
 
 @dataclass(frozen=True)
@@ -65,4 +65,6 @@ def run_jobs(spark: SparkSession, path: str, config: PipelineConfig | None = Non
     """Run the jobs of a job file one after the other; each is a distributed run over its own files. A job's ids in the
     file may repeat; outputs of the same name are replaced."""
     for job in files.read_jobs(path):
-        yield run_job(spark, job, config or PipelineConfig())
+        with scratch(spark):
+            done = run_job(spark, job, config or PipelineConfig())
+        yield done

@@ -97,6 +97,60 @@ g AS (SELECT ordinal, string_agg(b, '' ORDER BY i) AS seq, string_agg(chr(q + 33
 """
 
 
+#: ``win``: the windows of the overlaps with their qualities, and their identity.
+WINDOWS = """
+win AS (SELECT ordinal, substr(seq1, ref_start + 1, overlap) AS wx, substr(qual1, ref_start + 1, overlap) AS wxq, substr(q, read_start + 1, overlap) AS wy, substr(qq, read_start + 1, overlap) AS wyq FROM w),
+iden AS (SELECT ordinal, 100.0 * count_if(b1 = b2) / count(*) AS identity FROM c GROUP BY 1)
+"""
+
+
+def realigned(least: float, gap: int = 9) -> str:
+    """``loc``: the windows of less than ``least`` % identity, aligned locally and padded to cover them whole."""
+    i, j = "(d + 1 + h) // 2", "(d + 1 - h) // 2"
+    same = f"substr(x, {i}, 1) = substr(y, {j}, 1)"
+    spread = "string_agg(CASE WHEN substr({0}, pos, 1) = '-' THEN '!' ELSE substr({1}, CAST(length(replace(left({0}, pos), '-', '')) AS BIGINT), 1) END, '' ORDER BY pos)"
+    return f"""
+poor AS (SELECT win.* FROM win JOIN iden USING (ordinal) WHERE identity < {least}),
+sw_in AS (SELECT DISTINCT wx AS x, wy AS y, length(wx) AS n FROM poor),
+sw(x, y, n, d, s, b) USING KEY (x, y) AS (
+  SELECT x, y, n, 0, list_transform(range(-n, n + 1), lambda h: {{'c': 0, 'k': 2, 'p': ''}}), {{'c': 0, 'i': 0::BIGINT, 'j': 0::BIGINT, 'p': ''}} FROM sw_in
+  UNION
+  SELECT x, y, n, d, s, list_max(list_append(list_transform(s, lambda e, t: CASE WHEN NOT v[t].skip AND v[t].i > 0 AND v[t].j > 0 THEN {{'c': e.c, 'i': -v[t].i, 'j': -v[t].j, 'p': e.p}} ELSE b END), b))
+  FROM (
+    SELECT x, y, n, d, b, v, list_transform(v, lambda w, t: CASE
+      WHEN w.skip THEN s[t]
+      WHEN w.i = 0 THEN {{'c': 0, 'k': 2, 'p': ''}} WHEN w.j = 0 THEN {{'c': 0, 'k': 1, 'p': ''}}
+      WHEN w.a >= w.u AND w.a >= w.l THEN {{'c': w.a, 'k': 0, 'p': CASE WHEN w.a > 0 THEN s[t].p || 'M' ELSE '' END}}
+      WHEN w.u >= w.l THEN {{'c': w.u, 'k': 1, 'p': s[t - 1].p || 'D'}} ELSE {{'c': w.l, 'k': 2, 'p': s[t + 1].p || 'I'}} END) AS s
+    FROM (
+      SELECT x, y, n, d + 1 AS d, s, b, list_transform(range(-n, n + 1), lambda h, t: {{
+        'i': {i}, 'j': {j}, 'skip': (d + 1 + h) % 2 <> 0 OR d + 1 + h < 0 OR d + 1 - h < 0 OR {i} > n OR {j} > n,
+        'a': greatest(0, s[t].c + CASE WHEN {same} THEN 5 ELSE -4 END),
+        'u': CASE WHEN t > 1 THEN s[t - 1].c - {gap} - 2 * (s[t - 1].k = 0)::INT ELSE -1000 END,
+        'l': CASE WHEN t <= 2 * n THEN s[t + 1].c - {gap} - 2 * (s[t + 1].k = 0)::INT ELSE -1000 END}}) AS v
+      FROM sw WHERE d < 2 * n))),
+ends AS (
+  SELECT x, y, n, b.p AS ops, -b.i AS i1, -b.j AS j1, -b.i - length(replace(b.p, 'I', '')) AS i0, -b.j - length(replace(b.p, 'D', '')) AS j0 FROM sw),
+mid AS (
+  SELECT x, y, string_agg(CASE substr(ops, pos, 1) WHEN 'I' THEN '-' ELSE substr(x, i0 + length(replace(left(ops, pos), 'I', '')), 1) END, '' ORDER BY pos) AS gx,
+         string_agg(CASE substr(ops, pos, 1) WHEN 'D' THEN '-' ELSE substr(y, j0 + length(replace(left(ops, pos), 'D', '')), 1) END, '' ORDER BY pos) AS gy FROM ends, unnest(range(1, length(ops) + 1)) AS u(pos) GROUP BY ALL),
+padded AS (
+  SELECT x, y, left(x, i0 - lead) || repeat('-', j0 - lead) || substr(x, i0 - lead + 1, lead) || coalesce(gx, '') || substr(x, i1 + 1) || repeat('-', n - j1 - tail) AS gx,
+         repeat('-', i0 - lead) || left(y, j0 - lead) || substr(y, j0 - lead + 1, lead) || coalesce(gy, '') || substr(y, j1 + 1, tail) || repeat('-', n - i1 - tail) || substr(y, j1 + tail + 1) AS gy
+  FROM (SELECT *, least(i0, j0) AS lead, least(n - i1, n - j1) AS tail FROM ends) LEFT JOIN mid USING (x, y)),
+loc AS (
+  SELECT ordinal, any_value(gx) AS wx, any_value(gy) AS wy, {spread.format("gx", "wxq")} AS wxq, {spread.format("gy", "wyq")} AS wyq
+  FROM poor JOIN padded ON x = wx AND y = wy, unnest(range(1, length(gx) + 1)) AS u(pos) GROUP BY ordinal)"""
+
+
+#: ``lc``: the positions of the overlaps after local realignment, gaps as N of quality 0.
+REALIGNED = """
+lc AS (
+  SELECT ordinal, i, replace(substr(wx, i, 1), '-', 'N') AS b1, ascii(substr(wxq, i, 1)) - 33 AS x, replace(substr(wy, i, 1), '-', 'N') AS b2, ascii(substr(wyq, i, 1)) - 33 AS y
+  FROM (SELECT ordinal, wx, wxq, wy, wyq FROM win ANTI JOIN loc USING (ordinal) UNION ALL SELECT ordinal, wx, wxq, wy, wyq FROM loc), unnest(range(1, length(wx) + 1)) AS u(i))
+"""
+
+
 def _stitched(c: str, one: str, two: str) -> str:
     a = f"left({one}, ref_start) || g.{c} || substr(w.{two}, read_start + overlap + 1)"
     return f"CASE WHEN ref_start >= read_start THEN {a} ELSE left(w.{two}, read_start) || g.{c} || substr({one}, ref_start + overlap + 1) END AS {c}"

@@ -72,7 +72,7 @@ def aligned(pairs: DataFrame, found: primers.Primers, refs: DataFrame, config: P
     if ends:
         rows = once(rows, {"__front": primers.sequence(found, F.col("fprimer_id")), "__back": S.reverse_complement(primers.sequence(found, F.col("rprimer_id")))})
     first = F.length("__front") if ends else F.lit(0)
-    rows = reference.turned(reference.placed(rows, refs, F.col("seq"), config.kmer, config.window, first).join(refs, "ref_id"))
+    rows = reference.turned(reference.placed(rows, refs, F.col("seq"), config.kmer, config.window, first, take=["ref_name", "ref"]))
     rows = reference.banded(rows.drop("strand", "hits"), config, **ends).drop(*ends.values())
     rows = once(rows, {"cigar": S.cigar("ref_aln", "read_aln")})
     if config.barcoded:  # groups are of barcodes alone; the first read's CIGAR stands in the title

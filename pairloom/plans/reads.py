@@ -5,6 +5,7 @@ Operators whose SQL would be a dynamic programme over whole tables have none and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,8 +23,8 @@ from pairloom.operators import reference as R
 from pairloom.operators.steps import JOB, called, once
 from pairloom.plans import oracle as Q
 from pairloom.plans import pipelines
-from pairloom.sources import sinks
-from pairloom.staging import spread, stage, table
+from pairloom.sources import files, sinks
+from pairloom.staging import shared_dir, spread, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,6 +133,20 @@ def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.trim_adapters(one.join(two, "ordinal"), 2, 3)
 
 
+_LINES = "regexp_full_match(read_name_first, '@[ -~]*[!-~]') AND regexp_full_match(readseq_first, '[!-~]+') AND regexp_full_match(quality_first, '[!-~]+')"
+
+
+@query(f"SELECT ordinal, read_name_first AS name, readseq_first AS seq, quality_first AS qual FROM read_pair WHERE {_LINES}")
+def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First reads written as FASTQ, their ordinals in the names, and read from there in small splits."""
+    ok = F.col("read_name_first").rlike(r"^@[ -~]*[!-~]\z") & F.col("readseq_first").rlike(r"^[!-~]+\z") & F.col("quality_first").rlike(r"^[!-~]+\z")
+    name = F.concat(F.lit("@"), F.col("ordinal").cast("string"), F.lit(" "), "read_name_first")
+    path = f"{shared_dir(spark)}/pairloom/fastq-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "read_pair").where(ok).select(F.concat_ws("\n", name, "readseq_first", F.lit("+"), "quality_first")).write.text(path)
+    rows = files.read_fastq(spark, path, 1 << 20)
+    return rows.select(F.regexp_extract("name", "^@([0-9]+)", 1).cast("long").alias("ordinal"), F.regexp_replace("name", "^@[0-9]+ ", "").alias("name"), "seq", "qual")
+
+
 # overlap ------------------------------------------------------------------------------------------------------------
 
 
@@ -190,13 +205,13 @@ def quality_merge_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("x", "y", "n", S.match_quality(F.col("x"), F.col("y")).alias("same"), S.mismatch_quality(F.col("x"), F.col("y")).alias("other"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_OVER}, {Q.WINDOWS}, {Q.realigned(95)} SELECT * FROM loc")
 def sw_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local realignment of overlaps with less than 95 % identity."""
     return O.realign(once(_oriented(spark, sf_dir), {"identity": O.identity()}).where("identity < 95"), PipelineConfig(overlap_identity=95.0)).select("ordinal", "wx", "wy", "wxq", "wyq")
 
 
-@query()
+@query(f"WITH RECURSIVE {_OVER}, {Q.WINDOWS}, {Q.realigned(50)}, {Q.REALIGNED}, {Q.merged('lc')}, {Q.STITCHED} SELECT ordinal, seq, qual FROM st")
 def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.merge_pairs(pairs(spark, sf_dir), PipelineConfig(local_overlap=True)).select("ordinal", "seq", "qual")
 
@@ -284,7 +299,7 @@ def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = R.references(table(spark, sf_dir, "refs"))
     reads = clean(spark, sf_dir).where(F.length("seq") > 34).withColumns({"seq": _insert(), "qual": F.substring(F.col("qual"), F.lit(35), F.length("qual"))})
     config = PipelineConfig(mode="reference")
-    rows = R.turned(R.placed(reads, refs, F.col("seq"), config.kmer).join(refs, "ref_id"))
+    rows = R.turned(R.placed(reads, refs, F.col("seq"), config.kmer, take=["ref_name", "ref"]))
     back = F.col("strand") == "-"
     # reads end before the reference does: it is cut to what they can reach, turned ones from where they begin
     rows = once(rows, {"at": F.when(back, R.diagonal("seq", "ref", config.kmer)).otherwise(0), "whole": F.length("seq")})

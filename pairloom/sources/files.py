@@ -49,14 +49,18 @@ def _first_record(f: BinaryIO, start: int) -> int:
 
 
 class FastqReader(DataSourceReader):
-    """Splits are byte ranges, found without reading the file; each looks for its own first record."""
+    """Splits are byte ranges, found without reading the files; each looks for its own first record. A folder is read
+    file by file in order of their names, as Spark writes them."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.split = _local(options["path"]), int(options.get("split", SPLIT))
 
     def partitions(self) -> list[Split]:
-        size = os.path.getsize(self.path)
-        return [Split(self.path, n, at, min(size, at + self.split)) for n, at in enumerate(range(0, max(size, 1), self.split))]
+        files = [self.path]
+        if os.path.isdir(self.path):
+            files = [os.path.join(self.path, f) for f in sorted(os.listdir(self.path)) if f[0] not in "_."]
+        ranges = [(f, at, min(size, at + self.split)) for f in files for size in [os.path.getsize(f)] for at in range(0, max(size, 1), self.split)]
+        return [Split(f, n, at, end) for n, (f, at, end) in enumerate(ranges)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         names = ["split", "row", "name", "seq", "qual"]

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STAGED: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for staged tables: ``spark.checkpoint.dir`` of the session; only where it is unset (tests,
@@ -28,10 +32,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below :func:`shared_dir` and return it as read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within the block are deleted at its end: for work that has written its results by then. Elsewhere
+    they stay until the shared folder is cleared, as the DataFrames made of them may be read at any time."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        while len(_STAGED) > before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -95,11 +95,11 @@ def test_overlap_of_all_pairs(spark, tmp_path):
         whole[n] = tuple(h[:lead] + m + s[rest:] for h, m, s in zip(head, merged[n], tail))
     assert len(windows) == len(made) and sum(v < 100 for v in same.values()) >= 4
     got = lambda name: {r[0]: tuple(r)[1:] for r in QUERIES[name](spark, at).collect()}
-    assert got("overlap_window_oriented") == windows
-    assert got("overlap_identity_oriented") == {n: (v,) for n, v in same.items()}
-    assert got("merge_bases_oriented") == merged
-    assert got("stitch_oriented") == whole
-    table = QUERIES["quality_merge_overlap"](spark, at).collect()
+    assert got("overlap_window") == windows
+    assert got("overlap_identity") == {n: (v,) for n, v in same.items()}
+    assert got("merge_bases") == merged
+    assert got("stitch") == whole
+    table = QUERIES["quality_merge_lut"](spark, at).collect()
     assert {(r.x, r.y): (r.n, r.same, r.other) for r in table} == {v: (n, merge_rule(*v, True), merge_rule(*v, False)) for v, n in seen.items()}
     assert len(table) == len(seen) > 100
 
@@ -197,26 +197,15 @@ def test_corrections_start_from_the_alignment(spark, tmp_path):
     made += [row(22, AHEAD + rc(REF[30:]), "I" * 104, "ACGT", "IIII", "a"), row(23, AHEAD + INSERT[::-1], "I" * 104, "ACGT", "IIII", "a")]
     made += [row(30 + n, AHEAD + other, "I" * 104, "ACGT", "IIII", None) for n in range(5)]
     at = folder(spark, tmp_path, made, refs=REFS)
-    stats = {(r.job_id, r.ref_pos): r for r in QUERIES["position_stats_aligned"](spark, at).collect()}
+    stats = {(r.job_id, r.ref_pos): r for r in QUERIES["position_stats"](spark, at).collect()}
     for p in range(100):
         r = stats["a", p]
         assert r.n == 11 * (p < 69) + 10 * (p == 69) - (p == 30) + (p >= 30) or p == 69, p
         assert r[f"n_{REF[p].lower()}"] == r.n - (p == 60)
     assert {p for j, p in stats if j is None} == set(range(70)) and stats[None, 60][f"n_{wrong.lower()}"] == 5
-    fixed = {r.ordinal: r.seq for r in QUERIES["correct_base_aligned"](spark, at).collect()}
+    fixed = {r.ordinal: r.seq for r in QUERIES["correct_base"](spark, at).collect()}
     assert fixed[20][:68] == lost[:68] and fixed[21] == full and fixed[22] == REF[30:] and fixed[30] == other and 23 not in fixed
-    fixed = {r.ordinal: r.seq for r in QUERIES["correct_zscore_aligned"](spark, at).collect()}
+    fixed = {r.ordinal: r.seq for r in QUERIES["correct_zscore"](spark, at).collect()}
     chances = [10 ** (-q / 10) for q in [40] * 11 + [2]]
     z = (1 + 0.5 - sum(chances) / 3) / (sum(p * (1 - p) for p in chances) / 3) ** 0.5
     assert fixed[20][:68] == lost[:68] and fixed[22] == REF[30:] and fixed[21] == (full if z < 1.645 else other) and fixed[30] == other
-
-
-def test_answer_after_any_piece_of_a_leaked_passage(spark):
-    """The longest run is in the first piece, the answer follows the last one, or far behind the only leaked one."""
-    leakage = pytest.importorskip("pairloom.llm.leakage")
-    w = [f"a{i}" for i in range(240)]
-    items = spark.createDataFrame([(1, " ".join(w), "blue")], "item_id long, passage string, answer string")
-    broken = w[:60] + [x for i, x in enumerate(w[60:]) for x in ([x] if i % 16 else ["x", x])] + ["blue"]
-    texts = [broken, w[:60] + ["y"] * 150 + ["blue"], w[:60] + ["y"] * 400 + ["blue"]]
-    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
-    assert {r.doc_id: r.answer for r in leakage.leaks(docs, items).collect()} == {0: True, 1: True, 2: False}
