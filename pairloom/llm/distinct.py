@@ -58,7 +58,7 @@ def bucket_counts(found: DataFrame, groups: Sequence[str], sets: Sequence[Sequen
     return each.groupBy("bucket", "level", *groups, "combination").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_counts(df: DataFrame, identifier: str, groups: Sequence[str], sets: Sequence[Sequence[str]], combined: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def distinct_counts(df: DataFrame, identifier: str, groups: Sequence[str], sets: Sequence[Sequence[str]], buckets: int = BUCKETS, combined: Sequence[str] = ()) -> DataFrame:
     """``level``, the group columns, ``combination`` and ``n_distinct``: the exact number of distinct identifiers of every
     group of every set, and of every combination of groups that identifiers have in common (see :func:`bucket_counts`).
     The number of any union or intersection of groups is a sum of combinations. Null groups are groups, but no part of

@@ -89,34 +89,62 @@ def descend(s: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return prefix, est
 
 
+def without(s: np.ndarray, known: dict[int, int]) -> np.ndarray:
+    """The sketch of the rows but those of hashes whose counts are known."""
+    out = s.copy()
+    h, n = np.array(list(known), np.uint64), np.array(list(known.values()), np.int64)
+    for level in range(LEVELS):
+        for row in range(ROWS):
+            at, sign = _cells(_prefixes(h, level), level, row, s.shape[2])
+            np.subtract.at(out[level, row], at, sign * n)
+    return out
+
+
+def _heavy(s: np.ndarray, known: dict[int, int], k: int) -> tuple[dict[int, float], bool]:
+    """Hashes that stand out from a sketch without the known ones, with estimates, and whether these and the known ones
+    certainly hold the ``k`` most frequent. The threshold starts at 1/k of what the largest count can be and is halved
+    until ``k`` hashes certainly exceed it, or it sinks to the sketch's error."""
+    err = max(error(s, level) for level in range(LEVELS))
+    most = max([float(np.sqrt(np.median((s[0].astype(float) ** 2).sum(axis=1))) + 1), *known.values()])
+    least = most / k
+    while True:
+        found, est = descend(s, least)
+        sure = int((est - err >= least).sum()) + sum(n >= least for n in known.values())
+        if sure >= k or least < 1 or least / 2 < 2 * err:
+            return dict(zip(found.tolist(), est.tolist(), strict=True)), sure >= k or least < 1
+        least /= 2
+
+
 def most_frequent(df: DataFrame, column: str, k: int = 20, width: int = WIDTH) -> DataFrame:
     """The ``k`` most frequent non-null values of ``column``: the value, ``n_rows`` (exact, from the second scan) and
-    ``estimate`` (the sketch's). Ties go to the smaller value. Values compare as stored; nulls are no value, ``''``
+    ``estimate`` (the sketch's, or the exact count where that was needed to see others). Ties go to the smaller value. Values compare as stored; nulls are no value, ``''``
     is one. Fewer than ``k`` distinct values give as many rows; an empty table none. Other columns are not read.
 
-    The threshold starts at 1/k of the rows and is halved until ``k`` values certainly exceed it. Should it sink to the
-    sketch's error, the sketch is made four times as wide, up to MAX_WIDTH; beyond, values are counted exactly by a
-    (spilling) aggregation, so the result never depends on the data being skewed.
+    Where ``k`` values don't stand out, those that do are counted in a scan and taken out of the sketch, whose error they
+    make; where that doesn't help, the sketch is made four times as wide, up to MAX_WIDTH. Should not even that tell the
+    top values from the rest, as when all are about as frequent, the values are counted exactly by a (spilling)
+    aggregation: memory stays bounded and the result whole, at the price of a shuffle of all distinct values.
     """
     spark = df.sparkSession
     values = df.select(F.col(column).alias("value")).where("value is not null").withColumn("h", F.xxhash64("value"))
-    while width <= MAX_WIDTH:
-        s = sketch(values.select("h"), width)
-        rows = float(np.sqrt(np.median((s[0].astype(float) ** 2).sum(axis=1))) + 1)  # at least the largest count
-        least, err = rows / k, max(error(s, level) for level in range(LEVELS))
-        while True:
-            found, est = descend(s, least)
-            if (est - err >= least).sum() >= k or least < 1:
-                break
-            least /= 2
-            if least < 2 * err:
-                break
-        if (est - err >= least).sum() >= k or least < 1:
-            heavy = spark.createDataFrame([(int(h), float(e)) for h, e in zip(found.view(np.int64), est, strict=True)], "h long, estimate double")
-            counted = values.join(F.broadcast(heavy), "h").groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"), F.max("estimate").alias("estimate"))
-            break
-        width *= 4
-    else:
-        counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("estimate", F.col("n_rows").cast("double"))
+    known: dict[int, int] = {}
+
+    def among(hashes: dict[int, float]) -> DataFrame:
+        rows = [(int(np.uint64(h).astype(np.int64)), float(e)) for h, e in hashes.items()]
+        return values.join(F.broadcast(spark.createDataFrame(rows, "h long, estimate double")), "h")
+
+    counted, s = None, sketch(values.select("h"), width)
+    while counted is None:
+        found, enough = _heavy(without(s, known), known, k)
+        if enough:
+            counted = among(known | found).groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"), F.max("estimate").alias("estimate"))
+        elif len(found.keys() - known.keys()) > 0 and max(found.values()) > 2 * error(without(s, known), 0):
+            fresh = {h: e for h, e in found.items() if h not in known}
+            known |= {int(np.int64(r["h"]).astype(np.uint64)): r["n"] for r in among(fresh).groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect()}
+        elif width < MAX_WIDTH:
+            width = min(4 * width, MAX_WIDTH)
+            s = sketch(values.select("h"), width)
+        else:
+            counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("estimate", F.col("n_rows").cast("double"))
     top = counted.orderBy(F.desc("n_rows"), "value").limit(k)
     return top.withColumnRenamed("value", column)

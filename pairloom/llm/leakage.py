@@ -40,17 +40,17 @@ def words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Space:
-    """A block of items in latent space. vectors: a row of each vocabulary word (and a zero row for all others),
-    passages: a column of each piece, lengths: words of the whole passages, least: the product with a window that a shared run reaches at least."""
+    """A block of items in latent space. products: for each vocabulary word (and a zero row for all others) the product of
+    its vector with each piece's, so that a window's products are sums of rows; lengths: words of the whole passages,
+    least: the product with a window that a shared run reaches at least."""
 
     vocabulary: dict[str, int]
     pieces: list[list[int]]
     items: list[int]
     lengths: list[int]
     answers: list[list[str]]
-    vectors: np.ndarray
+    products: np.ndarray
     norms2: np.ndarray
-    passages: np.ndarray
     sizes: np.ndarray
     residual: np.ndarray
     least: np.ndarray
@@ -92,22 +92,28 @@ def _dense(piece: list[int], idf: np.ndarray) -> np.ndarray:
 
 def randomised_svd(spark, pieces: list[list[int]], idf: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:  # noqa: ANN001
     """Orthonormal basis (words x rank) of the leading right singular vectors of the pieces' TF-IDF matrix. Rows are
-    spread over tasks; only products with the random matrix and with the found range come back."""
+    spread over tasks; only products with the random matrix and with the found range come back, as rows of the words
+    that occur (at most PIECES x PIECE of them, of ``rank`` numbers of four bytes)."""
     k = min(rank, len(pieces), len(idf))
     rows = spark.createDataFrame([(i, p) for i, p in enumerate(pieces)], "row int, ids array<int>").repartition(max(1, min(8, len(pieces) // 64)), "row")
 
     def sums(matrix: np.ndarray, transposed: bool) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(matrix)
+
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = b.column(0).to_numpy()
-                a = np.array([_dense(p, idf) for p in b.column(1).to_pylist()])
-                out = a.T @ matrix[at] if transposed else a @ matrix
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(out)) if transposed else at, pa.int32()), pa.array(list(out), pa.list_(pa.float64()))], ["row", "v"])
-
-        got = rows.mapInArrow(part, "row int, v array<double>").collect()
+                at, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
+                a = np.array([_dense(p, idf) for p in ids])
+                # of the transposed product only the rows of the words that these pieces have
+                rows = np.unique(np.concatenate([np.array(p) for p in ids])) if transposed else at
+                out = a[:, rows].T @ shared.value[at] if transposed else a @ shared.value
+                flat = pa.array(out.astype(np.float32).ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * out.shape[1], flat)], ["row", "v"])
+
+        got = rows.mapInArrow(part, "row int, v array<float>").toArrow()
         total = np.zeros((len(idf) if transposed else len(pieces), matrix.shape[1]))
-        for r, v in got:
-            total[r] += v
+        np.add.at(total, got.column("row").to_numpy(), got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, matrix.shape[1]) if got.num_rows else np.zeros((0, matrix.shape[1])))
+        shared.destroy()
         return total
 
     draw = np.random.default_rng(seed).standard_normal((len(idf), k))
@@ -139,13 +145,13 @@ def _space(docs: DataFrame, cut: list[tuple[int, list[str], list[str], int]], ra
         w = np.array([idf[x] * d[x] for x in p])
         runs = np.convolve(w, np.ones(RUN), "valid")
         least.append(runs.min() * (1 - 1e-4))
-    vectors = np.zeros((len(vocabulary) + 1, basis.shape[1]), np.float32)
-    vectors[:-1] = idf[:, None] * basis
+    products = np.zeros((len(vocabulary) + 1, len(pieces)), np.float32)
+    products[:-1] = (idf[:, None] * basis) @ inside.T
     size = np.linalg.norm(dense, axis=1)
     gap = np.sqrt(np.maximum(0, size**2 - (inside**2).sum(axis=1)))
     gap[gap < 1e-6 * size] = 0
     norms2 = np.append(idf**2, 0).astype(np.float32)
-    return Space(vocabulary, pieces, [i for i, _, _, _ in cut], [n for _, _, _, n in cut], [a for _, _, a, _ in cut], vectors, norms2, inside.T.astype(np.float32), size, gap, np.array(least, np.float32))
+    return Space(vocabulary, pieces, [i for i, _, _, _ in cut], [n for _, _, _, n in cut], [a for _, _, a, _ in cut], products, norms2, size, gap, np.array(least, np.float32))
 
 
 def longest_run(x: np.ndarray, y: np.ndarray) -> int:
@@ -203,18 +209,20 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             answered: set[tuple[int, int]] = set()
             for lo in range(0, at, _SLICE):
                 hi = min(at, lo + _SLICE + 1)
-                span = flat[lo * RUN : hi * RUN]
-                blocks = np.add.reduceat(s.vectors[span], np.arange(0, len(span), RUN), axis=0)
-                weight = np.add.reduceat(s.norms2[span], np.arange(0, len(span), RUN))
+                span = flat[lo * RUN : hi * RUN].reshape(-1, RUN)
+                blocks, weight = s.products[span[:, 0]], s.norms2[span].sum(axis=1)
+                for i in range(1, RUN):
+                    blocks += s.products[span[:, i]]
                 windows, mass = blocks.copy(), weight.copy()
                 joined = np.flatnonzero(~last[lo : hi - 1])
                 windows[joined] += blocks[joined + 1]
                 mass[joined] += weight[joined + 1]
                 n = min(_SLICE, at - lo)
-                product = windows[:n] @ s.passages
+                product = windows[:n]
                 bound = product
                 if s.residual.any():
-                    bound = product + RUN * 2 * np.sqrt(mass[:n])[:, None] * s.residual[None, :]
+                    # what the space leaves out of a piece, times the most that a window's vector can measure
+                    bound = product + np.sqrt(RUN * 2 * mass[:n])[:, None] * s.residual[None, :]
                 cosine = product / np.maximum(1e-9, np.sqrt(mass[:n])[:, None] * s.sizes[None, :])
                 for w, p in zip(*np.nonzero((bound >= s.least) | (cosine >= needed)), strict=True):
                     d = int(np.searchsorted(starts, lo + w, "right")) - 1

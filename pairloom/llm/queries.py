@@ -30,12 +30,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_ordinal", "fbc_ordinal", "rbc_ordinal", "qual_ordinal")
 
 
+def p4_likeliest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records whose values the feeds' record makes likeliest."""
+    return survivor.resolve(table(spark, sf_dir, "read_pair"), table(spark, sf_dir, "feeds"), "posterior")
+
+
 def p4_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivor.truths(table(spark, sf_dir, "read_pair"))
+    return survivor.truths(table(spark, sf_dir, "read_pair")).withColumn("posterior", F.round("posterior", 4))
 
 
 def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivor.sources(table(spark, sf_dir, "read_pair"))
+    found = survivor.sources(table(spark, sf_dir, "read_pair"))
+    return found.withColumns({c: F.round(c, 4) for c in ("sensitivity", "specificity")})
 
 
 _SETS = [["day", "job_id"], ["day"], ["job_id"], []]
@@ -46,7 +52,7 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct.distinct_counts(_days(spark, sf_dir), "forward_barcode", ["day", "job_id"], _SETS, ["job_id"])
+    return distinct.distinct_counts(_days(spark, sf_dir), "forward_barcode", ["day", "job_id"], _SETS, combined=["job_id"])
 
 
 def p6_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def p6_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days and jobs that barcodes have in common."""
-    found = distinct.distinct_counts(_days(spark, sf_dir), "forward_barcode", ["day", "job_id"], [], ["day", "job_id"])
+    found = distinct.distinct_counts(_days(spark, sf_dir), "forward_barcode", ["day", "job_id"], [], combined=["day", "job_id"])
     return found.select("level", "combination", "n_distinct")
 
 
@@ -96,7 +102,7 @@ def p9_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_truths, p4_sources, p6_distinct, p6_partials, p6_combinations,
+    p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_likeliest, p4_truths, p4_sources, p6_distinct, p6_partials, p6_combinations,
     p7_ids, p7_offsets, p7_round_trip, p8_found, p8_leaks, p9_found, p9_coverage, p9_clusters,
 )}
 
@@ -130,17 +136,53 @@ k AS (
   FROM s)
 SELECT DISTINCT first_ordinal, fbc_ordinal, rbc_ordinal, qual_ordinal FROM k"""
 
+#: The quality model by recursion: claims, their patterns, and 400 rounds over the patterns' counts.
+_MODEL = r"""
+WITH RECURSIVE r AS (
+  SELECT ordinal, job_id, split_part(read_name_first, ' ', 1) AS cluster, coalesce(feed, '') AS feed, quality_first,
+         upper(regexp_replace(forward_barcode, '^\s+|\s+$', '', 'g')) AS forward_barcode, upper(regexp_replace(reverse_barcode, '^\s+|\s+$', '', 'g')) AS reverse_barcode
+  FROM read_pair WHERE job_id IS NOT NULL AND read_name_first IS NOT NULL),
+m AS (SELECT r.*, min(ordinal) OVER w AS first_ordinal, count(*) OVER w AS size FROM r WINDOW w AS (PARTITION BY job_id, cluster)),
+stated AS (
+  SELECT first_ordinal, feed, field, value FROM (SELECT first_ordinal, feed, unnest(['forward_barcode', 'reverse_barcode', 'quality_first']) AS field, unnest([forward_barcode, reverse_barcode, quality_first]) AS value FROM m WHERE size > 1)
+  WHERE value IS NOT NULL),
+said AS (SELECT first_ordinal, field, value, list_sort(list(DISTINCT feed)) AS said FROM stated GROUP BY ALL),
+asked AS (SELECT first_ordinal, field, list_sort(list(DISTINCT feed)) AS asked FROM stated GROUP BY ALL),
+claims AS (SELECT said.*, list_filter(asked, lambda x: NOT list_contains(said, x)) AS denied FROM said JOIN asked USING (first_ordinal, field)),
+pat AS (SELECT field, said, denied, count(*) AS n FROM claims GROUP BY ALL),
+votes AS (
+  SELECT field, said, denied, n, v.feed AS feed, v.yes AS yes
+  FROM (SELECT *, unnest(list_concat(list_transform(said, lambda x: {'feed': x, 'yes': 1.0::DOUBLE}), list_transform(denied, lambda x: {'feed': x, 'yes': 0.0::DOUBLE}))) AS v FROM pat)),
+em(i, field, feed, sens, spec) AS (
+  SELECT DISTINCT 0, field, feed, 0.8::DOUBLE, 0.8::DOUBLE FROM votes
+  UNION ALL
+  SELECT any_value(i) + 1, v.field, v.feed, (sum(n * p * yes) + 0.08 * sum(n)) / (sum(n * p) + 0.1 * sum(n)), (sum(n * (1 - p) * (1 - yes)) + 0.08 * sum(n)) / (sum(n * (1 - p)) + 0.1 * sum(n))
+  FROM votes v JOIN (
+    SELECT any_value(i) AS i, field, said, denied, 1 / (1 + exp(-(ln(1.5) + sum(CASE WHEN yes > 0 THEN ln(sens / (1 - spec)) ELSE ln((1 - sens) / spec) END)))) AS p
+    FROM votes JOIN em USING (field, feed) WHERE i < 400 GROUP BY field, said, denied) q USING (field, said, denied)
+  GROUP BY v.field, v.feed),
+rates AS (SELECT field, feed, sens, spec FROM em WHERE i = 400)
+"""
+
 _TOP = "SELECT readseq_first, count(*) AS n_rows FROM read_pair WHERE readseq_first IS NOT NULL GROUP BY 1 ORDER BY n_rows DESC, readseq_first LIMIT 20"
 
 _DAYS = "WITH d AS (SELECT CAST(CAST(sequenced_at AS DATE) AS VARCHAR) AS day, job_id, forward_barcode FROM read_pair WHERE forward_barcode IS NOT NULL)"
 _COMBINED = "{name} AS (SELECT forward_barcode, string_agg(DISTINCT {group}, ',' ORDER BY {group}) AS combination FROM d WHERE {group} IS NOT NULL GROUP BY 1)"
 
+_SPANS = "WITH s AS (SELECT doc_id, k, substr(text, k, 300) AS g FROM documents, unnest(range(1, length(text) - 298)) AS u(k) WHERE length(text) >= 300)"
+
 SQL = {
     "p2_counts": _TOP,
     "p2_found": f"SELECT readseq_first FROM ({_TOP})",
     "p3_found": _NORMAL + "SELECT first_ordinal, ordinal FROM f WHERE ordinal <> first_ordinal",
     "p3_groups": _NORMAL + "SELECT first_ordinal, count(*) AS n_copies FROM f GROUP BY 1",
     "p4_found": _CLUSTERS,
+    "p4_truths": _MODEL + """,
+post AS (
+  SELECT field, said, denied, 1 / (1 + exp(-(ln(1.5) + sum(CASE WHEN yes > 0 THEN ln(sens / (1 - spec)) ELSE ln((1 - sens) / spec) END)))) AS p
+  FROM votes JOIN rates USING (field, feed) GROUP BY field, said, denied)
+SELECT first_ordinal, field, value, round(p, 4) AS posterior FROM claims JOIN post USING (field, said, denied) WHERE p >= 0.5""",
+    "p4_sources": _MODEL + "SELECT field, feed, round(sens, 4) AS sensitivity, round(spec, 4) AS specificity FROM rates",
     "p6_distinct": f"""
 {_DAYS}, {_COMBINED.format(name="c", group="job_id")}
 SELECT 'day+job_id' AS level, day, job_id, NULL AS combination, count(DISTINCT forward_barcode) AS n_distinct FROM d GROUP BY day, job_id
@@ -159,6 +201,16 @@ i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w F
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS u(k)),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM i, unnest(range(1, len(w) - 11)) AS u(k))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p9_coverage": _SPANS + """,
+k AS (SELECT DISTINCT doc_id, k FROM s JOIN (SELECT g FROM s GROUP BY g HAVING count(DISTINCT doc_id) > 1) USING (g)),
+m AS (SELECT doc_id, least(300, coalesce(k - lag(k) OVER (PARTITION BY doc_id ORDER BY k), 300)) AS more FROM k)
+SELECT doc_id, length(text) AS n_chars, CAST(coalesce(sum(more), 0) AS BIGINT) AS n_shared FROM documents LEFT JOIN m USING (doc_id) WHERE length(text) >= 300 GROUP BY 1, 2""",
+    "p9_clusters": _SPANS.replace("WITH", "WITH RECURSIVE", 1) + """,
+t AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents WHERE length(text) >= 300),
+e AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM s JOIN t x USING (doc_id) JOIN s o USING (g) JOIN t y ON y.doc_id = o.doc_id WHERE x.class_id <> y.class_id),
+reach(a, b) AS (SELECT DISTINCT class_id, class_id FROM t UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a AS class_id, min(b) AS cluster_id FROM reach GROUP BY 1), n AS (SELECT a AS class_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT doc_id, class_id, cluster_id, coalesce(n_links, 0) AS n_links, doc_id = cluster_id AS kept FROM t JOIN c USING (class_id) LEFT JOIN n USING (class_id)""",
     "p9_found": """
 WITH s AS (SELECT DISTINCT doc_id, substr(text, k, 300) AS g FROM documents, unnest(range(1, length(text) - 298)) AS u(k) WHERE length(text) >= 300)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id""",

@@ -203,13 +203,14 @@ def shared_pairs(docs: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``class_id`` (its exact copies), ``cluster_id`` (its connected component of shared spans, smallest
-    representative) and ``n_links`` (other classes it shares a span with), for documents of at least SPAN characters."""
+    representative), ``n_links`` (other classes it shares a span with) and ``kept`` (the one document of the component
+    that stays if shared text is to be removed), for documents of at least SPAN characters."""
     members = stage(classes(docs), "text_classes")
     links = stage(linked_classes(docs, members), "class_links")
     part = components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("cluster_id"))
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     out = members.join(part, "rep", "left").join(ends, "rep", "left")
-    return out.select("doc_id", F.col("rep").alias("class_id"), F.coalesce("cluster_id", "rep").alias("cluster_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("rep").alias("class_id"), F.coalesce("cluster_id", "rep").alias("cluster_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("doc_id") == F.coalesce("cluster_id", "rep")).alias("kept"))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,17 +10,25 @@ order that the field's rule prescribes among the claims.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pairloom.staging import stage
 
+Key = tuple[str, str]
 FIELDS = ("forward_barcode", "reverse_barcode", "quality_first")
 BARCODE_CHARS = {"forward_barcode": 14, "reverse_barcode": 12}
-ROUNDS = 8
-#: Prior share of true claims, and pseudo-counts of the feeds' rates.
-PRIOR, PSEUDO = 0.6, (4.0, 1.0)
+#: Rounds end when no rate moves by more than STILL, and at the latest after ROUNDS.
+ROUNDS, STILL = 500, 1e-9
+#: Patterns of stating and denying feeds up to which the rounds run on the patterns' counts in one place; more are kept in
+#: a table, and each round is a job.
+PATTERNS = 100_000
+#: Prior share of true claims; the rate that is held against a feed's own record, and the weight it has, as a share of
+#: the feed's claims (without any, feeds that err together can end up trusted).
+PRIOR, RATE, WEIGHT = 0.6, 0.8, 0.1
 
 
 def _blankless(c: str) -> Column:
@@ -64,29 +72,61 @@ def claims(rows: DataFrame) -> DataFrame:
 
 
 def fit(found: DataFrame, rounds: int = ROUNDS) -> dict[tuple[str, str], tuple[float, float]]:
-    """(field, feed) -> (sensitivity, specificity), by expectation-maximisation over all claims. Claims with the same
+    """(field, feed) -> (sensitivity, specificity), by expectation-maximisation over all claims until the rates stand
+    still. Claims with the same
     field, stating and denying feeds are counted together first; the driver sees one row for each field and feed."""
-    spark = found.sparkSession
     patterns = stage(found.groupBy("field", "said", "denied").agg(F.count(F.lit(1)).alias("n")), "claim_patterns")
+    some = patterns.limit(PATTERNS + 1).collect()
+    few = len(some) <= PATTERNS
     feeds = patterns.select("field", F.explode(F.concat("said", "denied")).alias("feed")).distinct().collect()
-    rates = {(r["field"], r["feed"]): (0.8, 0.8) for r in feeds}
-    a, b = PSEUDO
+    rates = {(r["field"], r["feed"]): (RATE, RATE) for r in feeds}
+    step = _few_rounds(some, sorted(rates)) if few else lambda now: _round(patterns, now)
     for _ in range(rounds if rates else 0):
-        scored = patterns.withColumn("p", posterior(rates))
-        votes = F.concat(
-            F.transform("said", lambda x: F.struct(x.alias("feed"), F.lit(1.0).alias("yes"))),
-            F.transform("denied", lambda x: F.struct(x.alias("feed"), F.lit(0.0).alias("yes"))),
-        )
-        each = scored.select("field", "n", "p", F.explode(votes).alias("v")).groupBy("field", "v.feed").agg(
-            F.sum(F.col("n") * F.col("p")).alias("true"),
-            F.sum(F.col("n") * F.col("p") * F.col("v.yes")).alias("true_said"),
-            F.sum(F.col("n") * (1 - F.col("p"))).alias("false"),
-            F.sum(F.col("n") * (1 - F.col("p")) * (1 - F.col("v.yes"))).alias("false_denied"),
-        ).collect()
-        rates = {(r["field"], r["feed"]): ((r["true_said"] + a) / (r["true"] + a + b), (r["false_denied"] + a) / (r["false"] + a + b)) for r in each}
+        before, rates = rates, step(rates)
+        if all(abs(x - y) < STILL for k in rates for x, y in zip(rates[k], before[k], strict=True)):
+            break
     return rates
 
 
+def _new_rates(sums: dict[Key, tuple[float, float, float, float]]) -> dict[Key, tuple[float, float]]:
+    """Rates from the sums of true claims, true and stated ones, false claims, false and denied ones."""
+    own = {k: WEIGHT * (true + false) for k, (true, _, false, _) in sums.items()}
+    return {k: ((true_said + RATE * own[k]) / (true + own[k]), (false_denied + RATE * own[k]) / (false + own[k])) for k, (true, true_said, false, false_denied) in sums.items()}
+
+
+def _round(patterns: DataFrame, rates: dict[Key, tuple[float, float]]) -> dict[Key, tuple[float, float]]:
+    scored = patterns.withColumn("p", posterior(rates))
+    votes = F.concat(
+        F.transform("said", lambda x: F.struct(x.alias("feed"), F.lit(1.0).alias("yes"))),
+        F.transform("denied", lambda x: F.struct(x.alias("feed"), F.lit(0.0).alias("yes"))),
+    )
+    each = scored.select("field", "n", "p", F.explode(votes).alias("v")).groupBy("field", "v.feed").agg(
+        F.sum(F.col("n") * F.col("p")).alias("true"),
+        F.sum(F.col("n") * F.col("p") * F.col("v.yes")).alias("true_said"),
+        F.sum(F.col("n") * (1 - F.col("p"))).alias("false"),
+        F.sum(F.col("n") * (1 - F.col("p")) * (1 - F.col("v.yes"))).alias("false_denied"),
+    ).collect()
+    return _new_rates({(r["field"], r["feed"]): (r["true"], r["true_said"], r["false"], r["false_denied"]) for r in each})
+
+
+def _few_rounds(patterns: list[Row], keys: list[Key]) -> Callable[[dict[Key, tuple[float, float]]], dict[Key, tuple[float, float]]]:
+    """As :func:`_round`, over the counts of at most PATTERNS patterns."""
+    place = {k: i for i, k in enumerate(keys)}
+    votes = [(i, place[r["field"], feed], yes) for i, r in enumerate(patterns) for feeds, yes in ((r["said"], 1.0), (r["denied"], 0.0)) for feed in feeds]
+    of, who, yes = (np.array(x) for x in zip(*votes, strict=True)) if votes else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    n = np.array([r["n"] for r in patterns], float)
+
+    def step(rates: dict[Key, tuple[float, float]]) -> dict[Key, tuple[float, float]]:
+        sens, spec = np.array([rates[k] for k in keys]).T
+        said, denied = np.log(sens / (1 - spec)), np.log((1 - sens) / spec)
+        odds = math.log(PRIOR / (1 - PRIOR)) + np.bincount(of, np.where(yes > 0, said[who], denied[who]), len(n))
+        p = 1 / (1 + np.exp(-odds))
+        weights = ((n * p)[of], (n * p)[of] * yes, (n * (1 - p))[of], (n * (1 - p))[of] * (1 - yes))
+        return _new_rates(dict(zip(keys, zip(*[np.bincount(who, w, len(keys)).tolist() for w in weights], strict=True), strict=True)))
+
+    return step
+
+
 def posterior(rates: dict[tuple[str, str], tuple[float, float]]) -> Column:
     """Probability that a claim is true, from the feeds' rates (a literal map, bounded by fields x feeds)."""
     if not rates:
@@ -100,16 +140,19 @@ def posterior(rates: dict[tuple[str, str], tuple[float, float]]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def resolve(reads: DataFrame, feeds: DataFrame) -> DataFrame:
+def resolve(reads: DataFrame, feeds: DataFrame, by: str = "rules") -> DataFrame:
     """One row for each cluster of two or more records: ``first_ordinal``; of each field the ordinal of the record whose
     value survives (-1: none can) and the posterior of that value.
 
     Rules: a barcode can survive if, without blanks at its ends and in upper case, it has the field's number of letters
     of ACGTN, not all N, and fewer N win; a quality if it holds only ``!`` to ``J`` and is as long as its read has
     ASCII letters, and the longer wins. Ties: more trusted feed (unknown feeds last), later ``received_at`` (null
-    last), larger ordinal. The rules settle every choice; the posterior, which comes after them, tells how far the
-    feeds' record supports it. Extra columns are not read; empty tables give no rows.
+    last), larger ordinal. ``by="rules"``: these rules settle every choice, and the posterior only tells how far the
+    feeds' record supports it. ``by="posterior"``: of the values that can survive the likeliest does, and the rules decide
+    among records that state it or values as likely. Extra columns are not read; empty tables give no rows.
     """
+    if by not in ("rules", "posterior"):
+        raise ValueError(f"by={by!r}: rules or posterior")
     rows = stage(deliveries(reads), "deliveries")
     judged = claims(rows)
     judged = judged.withColumn("posterior", posterior(fit(judged)))
@@ -117,7 +160,8 @@ def resolve(reads: DataFrame, feeds: DataFrame) -> DataFrame:
     scores = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"score_{f}").alias("score")) for f in FIELDS])
     stated = rows.join(trust, "feed", "left").select("first_ordinal", "ordinal", "trust", "received_at", F.explode(scores).alias("c"))
     stated = stated.select("first_ordinal", "ordinal", "trust", "received_at", "c.*").join(judged.select("first_ordinal", "field", "value", "posterior"), ["first_ordinal", "field", "value"], "left")
-    order = F.struct("score", "trust", "received_at", "ordinal", "posterior")
+    rules = ["score", "trust", "received_at", "ordinal"]
+    order = F.struct(*([*rules, "posterior"] if by == "rules" else [F.round("posterior", 6).alias("likely"), *rules, "posterior"]))
     best = [F.max(F.when((F.col("field") == f) & (F.col("score") > 0), order)).alias(f) for f in FIELDS]
     out = stated.groupBy("first_ordinal").agg(*best)
     names = dict(zip(FIELDS, ("fbc", "rbc", "qual"), strict=True))

@@ -159,9 +159,23 @@ def test_distinct_counts(spark):
     merged = distinct.bucket_counts(distinct.merge(*halves), ["day", "job_id"], sets).groupBy("level", "day", "job_id").agg(F.sum("n").alias("n"))
     assert {(r.level, r.day, r.job_id): r.n for r in merged.collect()} == got
     assert distinct.distinct_counts(df.limit(0), "forward_barcode", ["day", "job_id"], sets).count() == 0
-    parts = {tuple(r.combination): r.n_distinct for r in distinct.combinations(df, "forward_barcode", "job_id", 16).collect()}
-    jobs = defaultdict(set)
-    for b, _, j, _ in rows:
-        if b is not None and j is not None:
-            jobs[b].add(j)
-    assert parts == Counter(tuple(sorted(v)) for v in jobs.values())
+    parts = {(r.level, r.combination): r.n_distinct for r in distinct.distinct_counts(df, "forward_barcode", ["day", "job_id"], [], 16, ["day", "job_id"]).collect()}
+    want = Counter()
+    for at, level in ((1, "combination of day"), (2, "combination of job_id")):
+        of = defaultdict(set)
+        for r in rows:
+            if r[0] is not None and r[at] is not None:
+                of[r[0]].add(r[at])
+        want.update((level, ",".join(sorted(v))) for v in of.values())
+    assert parts == want
+
+
+def test_copies_of_a_hot_group(spark, monkeypatch):
+    """A group of a third of all rows, a root shared by different structures, and both at once."""
+    monkeypatch.setattr(formatting, "leaf", lambda c: F.md5(F.left(c, F.lit(1))))  # digests that collide
+    rows = [(i, "ACGT", "gg tt" if i % 2 else "GGTT", "x") for i in range(900)] + [(i, "AAAA" + "CGT"[i % 3], f"G{'ACGT'[i % 4]}{i // 7}", "x") for i in range(900, 2700)]
+    groups = defaultdict(list)
+    for o, x, y, _ in rows:
+        groups[tuple(sorted(re.sub("[^A-Z]", "", v.upper()) for v in (x, y)))].append(o)
+    got = {(r.first_ordinal, r.ordinal) for r in formatting.copies(spark.createDataFrame(rows, PAIRS)).collect()}
+    assert got == {(min(g), o) for g in groups.values() for o in g if o != min(g)}

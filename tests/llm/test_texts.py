@@ -202,3 +202,34 @@ def test_components(spark):
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in root}
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_answer_after_any_piece_of_a_leaked_passage(spark):
+    """The longest run is in the first piece, the answer follows the last one, or far behind the only leaked one."""
+    w = [f"a{i}" for i in range(240)]
+    items = spark.createDataFrame([(1, " ".join(w), "blue")], "item_id long, passage string, answer string")
+    broken = w[:60] + [x for i, x in enumerate(w[60:]) for x in ([x] if i % 16 else ["x", x])] + ["blue"]
+    texts = [broken, w[:60] + ["y"] * 150 + ["blue"], w[:60] + ["y"] * 400 + ["blue"]]
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.answer for r in leakage.leaks(docs, items).collect()} == {0: True, 1: True, 2: False}
+
+
+def test_recall_of_paraphrases(spark):
+    """Passages with a fifth of their words replaced, left out or inserted, inside other text: at least 0.9 are found,
+    and nothing in texts of the same words in another order."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passages = [rng.choices(vocabulary, k=rng.randrange(24, 37)) for _ in range(120)]
+    texts = []
+    for p in passages:
+        out = []
+        for w in p:
+            r = rng.random()
+            out += [rng.choice(vocabulary)] if r < 0.1 else [] if r < 0.15 else [w, rng.choice(vocabulary)] if r < 0.2 else [w]
+        texts.append(" ".join(rng.choices(vocabulary, k=rng.randrange(300)) + out + rng.choices(vocabulary, k=rng.randrange(300))))
+    other = [" ".join(rng.sample(p, len(p))) for p in passages]
+    docs = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(p), "") for i, p in enumerate(passages)], "item_id long, passage string, answer string")
+    found = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()}
+    assert sum((i, i) in found for i in range(120)) >= 0.9 * 120
+    assert found <= {(i, i) for i in range(120)}
