@@ -203,3 +203,42 @@ def test_streamed_first_deliveries(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.job_id, r.cluster) for r in spark.sql("select * from firsts").collect()) == [("j", "@a"), ("k", "@a")]
+
+
+def test_streamed_window_counts(spark, tmp_path):
+    """Rows count in the hour they belong to; what arrives later than the watermark allows is left out."""
+    rows = [("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("b", "2024-01-01 01:10:00"), (None, "2024-01-01 00:20:00")]
+    late = [("a", "2024-01-03 12:00:00"), ("a", "2024-01-01 00:05:00")]
+    schema = "forward_barcode string, t string"
+    for n, part in enumerate((rows, late[:1], late[1:], [("z", "2024-01-05 00:00:00")])):
+        df = spark.createDataFrame(part, schema).select("forward_barcode", F.to_timestamp("t").alias("received_at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if not n:
+            out = stream.window_counts(stream.read_stream(spark, str(tmp_path / "in"), df.schema), ["forward_barcode"])
+            q = out.writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+    q.stop()
+    got = {(r.forward_barcode, str(r.window.start)): r.n_rows for r in spark.sql("select * from counts").collect()}
+    assert got == {("a", "2024-01-01 00:00:00"): 2, (None, "2024-01-01 00:00:00"): 1, ("b", "2024-01-01 01:00:00"): 1, ("a", "2024-01-03 12:00:00"): 1}
+
+
+def test_fastq_folder(spark, tmp_path):
+    from pairloom.sources import files
+
+    for n in range(3):
+        (tmp_path / f"part-{n}").write_text("".join(f"@{n}.{i}\nACGT\n+\n@II+\n" for i in range(5)))
+    (tmp_path / "_SUCCESS").write_text("")
+    got = files.read_fastq(spark, str(tmp_path), split=40).orderBy("ordinal").collect()
+    assert [r.name for r in got] == [f"@{n}.{i}" for n in range(3) for i in range(5)] and [r.ordinal for r in got] == list(range(15))
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from pairloom import staging
+
+    kept = staging.stage(spark.range(3), "kept")
+    with staging.scratch(spark):
+        gone = staging.stage(spark.range(3), "gone")
+        assert gone.count() == 3
+    assert kept.count() == 3 and not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
