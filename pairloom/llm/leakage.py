@@ -186,6 +186,7 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         piece_ids = [np.array(p, np.int32) for p in s.pieces]
         # a window holds 2 * RUN words of a longer piece
         needed = np.array([COSINE * min(1.0, math.sqrt(2 * RUN / len(p))) for p in s.pieces], np.float32)
+        lowest, closest, widest = s.least.min(), (needed * s.sizes).min() * (1 - 1e-6), s.residual.max()
         get, other = s.vocabulary.get, len(s.vocabulary)
 
         def documents() -> Iterator[tuple[object, np.ndarray, list[str]]]:
@@ -218,13 +219,15 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 windows[joined] += blocks[joined + 1]
                 mass[joined] += weight[joined + 1]
                 n = min(_SLICE, at - lo)
-                product = windows[:n]
-                bound = product
-                if s.residual.any():
-                    # what the space leaves out of a piece, times the most that a window's vector can measure
-                    bound = product + np.sqrt(RUN * 2 * mass[:n])[:, None] * s.residual[None, :]
-                cosine = product / np.maximum(1e-9, np.sqrt(mass[:n])[:, None] * s.sizes[None, :])
-                for w, p in zip(*np.nonzero((bound >= s.least) | (cosine >= needed)), strict=True):
+                # no window below the least that any piece asks for, with the most that the space leaves out, can be a candidate
+                lengths2 = mass[:n]
+                slack = np.sqrt(RUN * 2 * lengths2) * widest
+                near = np.flatnonzero((lengths2 > 0) & (windows[:n].max(axis=1) + slack >= np.minimum(lowest, closest * np.sqrt(lengths2))))
+                product, measure = windows[near], np.sqrt(lengths2[near])[:, None]
+                bound = product + math.sqrt(RUN * 2) * measure * s.residual[None, :]
+                cosine = product / np.maximum(1e-9, measure * s.sizes[None, :])
+                for r, p in zip(*np.nonzero((bound >= s.least) | (cosine >= needed)), strict=True):
+                    w = near[r]
                     d = int(np.searchsorted(starts, lo + w, "right")) - 1
                     first = (lo + int(w) - starts[d]) * RUN
                     yield_key = (d, s.items[p])
@@ -232,7 +235,7 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     around = ids[max(0, first - RUN) : first + 3 * RUN]
                     around = np.where(around == other, -1, around)
                     run = longest_run(around, piece_ids[p])
-                    close = float(cosine[w, p])
+                    close = float(cosine[r, p])
                     lcs = common_subsequence(around.tolist(), s.pieces[p]) if run >= RUN or close >= needed[p] else run
                     if run < RUN and lcs < SUBSEQUENCE * len(s.pieces[p]):
                         continue
