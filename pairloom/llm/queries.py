@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import distinct, formatting, frequent, leakage, spans, survivor, tokens
+from pairloom.llm import distinct, formatting, frequent, leakage, paragraphs, spans, survivor, tokens
 from pairloom.staging import table
 
 
@@ -97,13 +97,17 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.coverage(table(spark, sf_dir, "documents"))
 
 
+def p9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicates(table(spark, sf_dir, "documents"))
+
+
 def p9_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.clusters(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_likeliest, p4_truths, p4_sources, p6_distinct, p6_partials, p6_combinations,
-    p7_ids, p7_offsets, p7_round_trip, p8_found, p8_leaks, p9_found, p9_coverage, p9_clusters,
+    p7_ids, p7_offsets, p7_round_trip, p8_found, p8_leaks, p9_found, p9_coverage, p9_clusters, p9_paragraphs,
 )}
 
 _NORMAL = """
@@ -211,6 +215,19 @@ e AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM s JOIN t x USING (do
 reach(a, b) AS (SELECT DISTINCT class_id, class_id FROM t UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
 c AS (SELECT a AS class_id, min(b) AS cluster_id FROM reach GROUP BY 1), n AS (SELECT a AS class_id, count(*) AS n_links FROM e GROUP BY 1)
 SELECT doc_id, class_id, cluster_id, coalesce(n_links, 0) AS n_links, doc_id = cluster_id AS kept FROM t JOIN c USING (class_id) LEFT JOIN n USING (class_id)""",
+    "p9_paragraphs": r"""
+WITH RECURSIVE t AS (SELECT doc_id, string_split_regex(text, '[\r\n]+') AS parts FROM documents WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT doc_id, k - 1 AS place, trim(regexp_replace(lower(parts[k]), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM t, unnest(range(1, len(parts) + 1)) AS u(k)),
+q AS (SELECT * FROM p WHERE len(string_split(words, ' ')) >= 5),
+s AS (SELECT DISTINCT words, array_to_string(string_split(words, ' ')[k:k + 4], ' ') AS g FROM (SELECT DISTINCT words FROM q), unnest(range(1, len(string_split(words, ' ')) - 3)) AS u(k)),
+n AS (SELECT words, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT x.words AS a, y.words AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.words <> y.words GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n na ON na.words = a JOIN n nb ON nb.words = b WHERE k / (na.n + nb.n - k) >= 0.8),
+reach(a, b) AS (SELECT DISTINCT words, words FROM q UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT r.a AS words, min({'d': doc_id, 'p': place}) AS first FROM reach r JOIN q ON q.words = r.b GROUP BY 1),
+l AS (SELECT a AS words, count(*) AS n_links FROM e GROUP BY 1)
+SELECT doc_id, CAST(place AS INTEGER) AS place, first.d AS class_doc, CAST(first.p AS INTEGER) AS class_place, coalesce(n_links, 0) AS n_links, doc_id = first.d AND place = first.p AS kept
+FROM q JOIN c USING (words) LEFT JOIN l USING (words)""",
     "p9_found": """
 WITH s AS (SELECT DISTINCT doc_id, substr(text, k, 300) AS g FROM documents, unnest(range(1, length(text) - 298)) AS u(k) WHERE length(text) >= 300)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id""",

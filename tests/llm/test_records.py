@@ -36,6 +36,13 @@ def test_frequent_of_few_ties_and_flat(spark):
     assert [(r.readseq_first, r.n_rows) for r in got] == [("00007", 2), ("00000", 1), ("00001", 1)]
 
 
+def test_hot_value_hides_no_others(spark):
+    """One value holds most rows; beside it the others stand out only once it is out of the sketch."""
+    df = spark.range(150_000).select(F.when(F.col("id") < 100_000, "hot").when(F.col("id") < 112_000, F.concat(F.lit("w"), (F.col("id") % 8).cast("string"))).otherwise(F.col("id").cast("string")).alias("readseq_first"))
+    got = {r.readseq_first: (r.n_rows, r.estimate) for r in frequent.most_frequent(df, "readseq_first", k=9, width=256).collect()}
+    assert {v: n for v, (n, _) in got.items()} == {"hot": 100_000} | {f"w{i}": 1500 for i in range(8)}
+
+
 def test_sketches_add_up(spark):
     df = spark.range(5000).select((F.xxhash64(F.col("id") % 70)).alias("h"))
     a, b = df.limit(2000), df
