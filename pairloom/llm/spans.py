@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
-from pairloom.staging import stage
+from pairloom.operators.skew import fragment_replicate_join, plan_counts
+from pairloom.staging import stage, tasks
 
 SPAN = 300
 GRAM = 200
@@ -150,8 +151,12 @@ def _hits(docs: DataFrame, members: DataFrame) -> DataFrame:
     prints = stage(texts.mapInArrow(_prints, "doc_id long, print long, place int"), "prints")
     copies = members.where("doc_id <> rep").select("doc_id")
     own = prints.join(copies, "doc_id", "left_anti")
-    shared = own.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("print")
-    return own.join(shared, "print").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    shared = own.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = stage(shared.select("print", "n"), "shared_prints")
+    # what stands on a third of all pages is one print: its rows are split over tasks
+    plan = plan_counts(shared, ["print"], "n", prints.count(), tasks(docs.sparkSession))
+    hits = fragment_replicate_join(own, shared.select("print"), ["print"], "doc_id", "left_semi", plan)
+    return hits.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
 def linked_classes(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -75,15 +75,23 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k", key: str = "doc_id
     return out.withColumnRenamed("id", key)
 
 
+def _pieces(path: str) -> dict[int, bytes]:
+    """The bytes of each token of a vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    table = byte_of_char()
+    return {i: bytes(table[c] for c in token) if all(c in table for c in token) else token.encode() for token, i in vocabulary.items()}
+
+
+def _text(ids: list[int] | None, pieces: dict[int, bytes]) -> str | None:
+    return None if ids is None else b"".join(pieces[i] for i in ids).decode("utf-8", "replace")
+
+
 def _decoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        table = byte_of_char()
-        pieces = {i: bytes(table[c] for c in token) if all(c in table for c in token) else token.encode() for token, i in vocabulary.items()}
+        pieces = _pieces(path)
         for b in batches:
-            texts = [None if x is None else b"".join(pieces[i] for i in x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_text(x, pieces) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return decode
 
@@ -95,10 +103,22 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k", key: str = "doc
     return out.withColumnRenamed("id", key)
 
 
+def _there_and_back(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, pieces = _tokenizer(path), _pieces(path)
+        for b in batches:
+            texts, at = [x or "" for x in b.column(1).to_pylist()], 0
+            for part in _chunks(texts):
+                ids = [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+                same = [_text(x, pieces) == y for x, y in zip(ids, part, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(map(len, ids), pa.int32()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "same"])
+                at += len(part)
+
+    return both
+
+
 def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``same``: whether decoding gives back the text (null counts as empty)."""
-    coded = encode(docs.select("doc_id", "text"), vocabulary, folder=folder)
-    back = decode(coded, vocabulary, folder=folder).withColumnRenamed("text", "back")
-    sizes = coded.select("doc_id", F.size("ids").alias("n_tokens"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(back, "doc_id").join(sizes, "doc_id").select("doc_id", "n_tokens", (F.col("text") == F.col("back")).alias("same"))
+    """``doc_id``, ``n_tokens`` and ``same``: whether decoding gives back the text (null counts as empty). Texts are encoded
+    and decoded where they are, once."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(_there_and_back(f"{folder}/{vocabulary}.json"), f"doc_id {kind}, n_tokens int, same boolean")
