@@ -24,7 +24,7 @@ from pairloom.operators import skew
 from pairloom.staging import stage, tasks
 
 #: Cells of a matrix of reads and positions that are worked on at once.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Qualities count from 0 to this; whatever else stands in a quality string counts as the nearest.
 MOST = 93
 

@@ -306,15 +306,20 @@ def job(sql: str) -> str:
     return f"SELECT * REPLACE (CASE WHEN job_id <> '' THEN substr(job_id, 2) END AS job_id) FROM ({sql})"
 
 
-def placed(src: str, first: int = 1) -> str:
-    """``placed``: reference and strand of the reads of ``src`` by the 8-mers from base ``first`` on."""
+def placed(src: str, first: int = 1, window: int = 40) -> str:
+    """``placed``: the reference of the reads of ``src`` by the 8-mers from base ``first`` on, and their strand by those
+    within ``window`` bases."""
     return f"""
 ref AS (SELECT ref_id, rtrim(ref_name) AS ref_name, upper(trim(seq)) AS ref FROM refs),
 rs AS (SELECT ref_id, '+' AS strand, ref AS s FROM ref UNION ALL SELECT ref_id, '-', {rc("ref")} FROM ref),
 ix AS (SELECT DISTINCT ref_id, strand, substr(s, k, 8) AS kmer FROM rs, unnest(range(1, length(s) - 6)) AS u(k) WHERE regexp_full_match(substr(s, k, 8), '[ACGT]+')),
 rk AS (SELECT ordinal, k, substr(seq, k, 8) AS kmer FROM {src}, unnest(range({first}, length(seq) - 6)) AS u(k)),
 hit AS (SELECT ordinal, ref_id, strand, count(*) AS hits FROM rk JOIN ix USING (kmer) GROUP BY ALL),
-placed AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY hits DESC, ref_id, strand) = 1)"""
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY hits DESC, ref_id, strand) = 1),
+near AS (
+  SELECT ordinal, ref_id, count_if(ix.strand = '+') AS np, count_if(ix.strand = '-') AS nm FROM rk JOIN ix USING (kmer) JOIN (SELECT ordinal, ref_id FROM best) USING (ordinal, ref_id)
+  WHERE k <= {first + window - 8} GROUP BY ALL),
+placed AS (SELECT best.* REPLACE (CASE WHEN coalesce(np, 0) >= coalesce(nm, 0) THEN '+' ELSE '-' END AS strand) FROM best LEFT JOIN near USING (ordinal, ref_id))"""
 
 
 #: ``ready``: the clean first reads behind barcode and primer beside the part of their reference that they can reach.
@@ -335,10 +340,7 @@ ready AS (SELECT * FROM rd WHERE strand = '+' OR whole <= length(ref) * 1.15)
 #: ``ready``: prepared reads turned in the direction of the reference that they share most 8-mers with.
 GUIDED = f"""
 {placed("pre")},
-near AS (
-  SELECT ordinal, ref_id, count_if(ix.strand = '+') AS np, count_if(ix.strand = '-') AS nm FROM rk JOIN ix USING (kmer) JOIN (SELECT ordinal, ref_id FROM placed) USING (ordinal, ref_id)
-  WHERE k <= 33 GROUP BY ALL),
-gd AS (SELECT pre.*, ref_id, ref_name, ref, 0 AS ref_start, coalesce(np, 0) >= coalesce(nm, 0) AS ahead FROM pre JOIN placed USING (ordinal) JOIN ref USING (ref_id) LEFT JOIN near USING (ordinal, ref_id)),
+gd AS (SELECT pre.*, ref_id, ref_name, ref, 0 AS ref_start, strand = '+' AS ahead FROM pre JOIN placed USING (ordinal) JOIN ref USING (ref_id)),
 ready AS (SELECT * REPLACE (coalesce('=' || job_id, '') AS job_id, CASE WHEN ahead THEN seq ELSE {rc("seq")} END AS seq, CASE WHEN ahead THEN qual ELSE reverse(qual) END AS qual) FROM gd)
 """
 

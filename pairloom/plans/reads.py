@@ -291,15 +291,15 @@ def _insert() -> Column:
 
 @query(f"WITH {_CLEAN}, {Q.placed('clean', 35)} SELECT ordinal, ref_id, strand, hits FROM placed")
 def orient_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference and strand of each first read behind its primer, by shared 8-mers."""
-    return R.placed(clean(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), _insert()).select("ordinal", "ref_id", "strand", "hits")
+    """Reference of each first read behind its primer by shared 8-mers, and strand by those of the first 40 bases."""
+    return R.placed(clean(spark, sf_dir), R.references(table(spark, sf_dir, "refs")), _insert(), window=PipelineConfig().window).select("ordinal", "ref_id", "strand", "hits")
 
 
 def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = R.references(table(spark, sf_dir, "refs"))
     reads = clean(spark, sf_dir).where(F.length("seq") > 34).withColumns({"seq": _insert(), "qual": F.substring(F.col("qual"), F.lit(35), F.length("qual"))})
     config = PipelineConfig(mode="reference")
-    rows = R.turned(R.placed(reads, refs, F.col("seq"), config.kmer, take=["ref_name", "ref"]))
+    rows = R.turned(R.placed(reads, refs, F.col("seq"), config.kmer, config.window, take=["ref_name", "ref"]))
     back = F.col("strand") == "-"
     # reads end before the reference does: it is cut to what they can reach, turned ones from where they begin
     rows = once(rows, {"at": F.when(back, R.diagonal("seq", "ref", config.kmer)).otherwise(0), "whole": F.length("seq")})
