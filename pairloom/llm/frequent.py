@@ -23,6 +23,9 @@ WIDTH = 1 << 12
 MAX_WIDTH = 1 << 17
 #: Standard errors of an estimate that the descent allows for.
 ERRORS = 4.0
+#: Prefixes of a level that a descent goes on from at most, which bounds what the driver holds; a threshold that more
+#: prefixes reach is too low for this sketch.
+KEPT = 1 << 14
 
 
 def _cells(prefix: np.ndarray, level: int, row: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,9 +79,9 @@ def error(s: np.ndarray, level: int) -> float:
     return ERRORS * float(np.sqrt(np.median((s[level].astype(float) ** 2).sum(axis=1)) / s.shape[2]) / np.sqrt(ROWS / 1.57))
 
 
-def descend(s: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, with estimates, of all values that occur ``least`` times or more (up to the sketch's error). At most
-    total / least prefixes of a level are truly that heavy, which bounds the descent."""
+def descend(s: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Hashes, with estimates, of all values that occur ``least`` times or more (up to the sketch's error); None if more
+    than KEPT prefixes of a level do."""
     prefix = np.arange(1 << STEP, dtype=np.uint64)
     for level in range(LEVELS):
         if level:
@@ -86,6 +89,8 @@ def descend(s: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         est = estimates(s, prefix, level)
         keep = est >= max(0.5, least - error(s, level))
         prefix, est = prefix[keep], est[keep]
+        if len(prefix) > KEPT:
+            return None
     return prefix, est
 
 
@@ -103,16 +108,19 @@ def without(s: np.ndarray, known: dict[int, int]) -> np.ndarray:
 def _heavy(s: np.ndarray, known: dict[int, int], k: int) -> tuple[dict[int, float], bool]:
     """Hashes that stand out from a sketch without the known ones, with estimates, and whether these and the known ones
     certainly hold the ``k`` most frequent. The threshold starts at 1/k of what the largest count can be and is halved
-    until ``k`` hashes certainly exceed it, or it sinks to the sketch's error."""
+    until ``k`` hashes certainly exceed it, or it sinks to the sketch's error, below which a descent would keep everything."""
     err = max(error(s, level) for level in range(LEVELS))
     most = max([float(np.sqrt(np.median((s[0].astype(float) ** 2).sum(axis=1))) + 1), *known.values()])
-    least = most / k
-    while True:
-        found, est = descend(s, least)
-        sure = int((est - err >= least).sum()) + sum(n >= least for n in known.values())
-        if sure >= k or least < 1 or least / 2 < 2 * err:
-            return dict(zip(found.tolist(), est.tolist(), strict=True)), sure >= k or least < 1
+    least, out = max(most / k, 2 * err), {}
+    while (got := descend(s, least)) is not None:
+        out = dict(zip(got[0].tolist(), got[1].tolist(), strict=True))
+        sure = int((got[1] - err >= least).sum()) + sum(n >= least for n in known.values())
+        if sure >= k or least < 1:
+            return out, True
+        if least / 2 < 2 * err:
+            break
         least /= 2
+    return out, False
 
 
 def most_frequent(df: DataFrame, column: str, k: int = 20, width: int = WIDTH) -> DataFrame:
