@@ -154,13 +154,15 @@ def _space(docs: DataFrame, cut: list[tuple[int, list[str], list[str], int]], ra
     return Space(vocabulary, pieces, [i for i, _, _, _ in cut], [n for _, _, _, n in cut], [a for _, _, a, _ in cut], products, norms2, size, gap, np.array(least, np.float32))
 
 
-def longest_run(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the longest common run of two short id arrays; unknown words (below 0) match nothing."""
-    same = (x[:, None] == y[None, :]) & (x[:, None] >= 0)
-    best, run = 0, np.zeros(len(y) + 1, np.int32)
-    for row in same:
-        run[1:] = np.where(row, run[:-1] + 1, 0)
-        best = max(best, int(run.max()))
+def longest_run(x: list[int], y: list[int]) -> int:
+    """Length of the longest common run of two short id lists; unknown words (below 0) match nothing."""
+    where: dict[int, list[int]] = {}
+    for j, c in enumerate(y):
+        where.setdefault(c, []).append(j)
+    best, run = 0, {}
+    for c in x:  # runs that end here, by their place in y
+        run = {j: run.get(j - 1, 0) + 1 for j in where.get(c, ())} if c >= 0 else {}
+        best = max(best, *run.values(), 0)
     return best
 
 
@@ -183,7 +185,6 @@ _SLICE = 1024
 def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = SimpleNamespace(**shared.value)
-        piece_ids = [np.array(p, np.int32) for p in s.pieces]
         # a window holds 2 * RUN words of a longer piece
         needed = np.array([COSINE * min(1.0, math.sqrt(2 * RUN / len(p))) for p in s.pieces], np.float32)
         lowest, closest, widest = s.least.min(), (needed * s.sizes).min() * (1 - 1e-6), s.residual.max()
@@ -204,6 +205,7 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 starts.append(at)
                 at += n
             flat = np.concatenate(padded)
+            places = np.array(starts)
             last = np.zeros(at, bool)
             last[[x - 1 for x in [*starts[1:], at]]] = True
             best: dict[tuple[int, int], tuple] = {}
@@ -228,15 +230,15 @@ def _search(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 cosine = product / np.maximum(1e-9, measure * s.sizes[None, :])
                 for r, p in zip(*np.nonzero((bound >= s.least) | (cosine >= needed)), strict=True):
                     w = near[r]
-                    d = int(np.searchsorted(starts, lo + w, "right")) - 1
+                    d = int(np.searchsorted(places, lo + w, "right")) - 1
                     first = (lo + int(w) - starts[d]) * RUN
                     yield_key = (d, s.items[p])
                     ids = part[d][1]
                     around = ids[max(0, first - RUN) : first + 3 * RUN]
-                    around = np.where(around == other, -1, around)
-                    run = longest_run(around, piece_ids[p])
+                    around = np.where(around == other, -1, around).tolist()
+                    run = longest_run(around, s.pieces[p])
                     close = float(cosine[r, p])
-                    lcs = common_subsequence(around.tolist(), s.pieces[p]) if run >= RUN or close >= needed[p] else run
+                    lcs = common_subsequence(around, s.pieces[p]) if run >= RUN or close >= needed[p] else run
                     if run < RUN and lcs < SUBSEQUENCE * len(s.pieces[p]):
                         continue
                     answer, rest = s.answers[p], part[d][2][first : first + max(2 * PIECE, s.lengths[p] + PIECE) + 2 * RUN]
