@@ -150,6 +150,24 @@ def test_sources_are_told_apart(spark):
     assert {r.value for r in two.collect()} == {good, bad}
 
 
+def test_likeliest_values_survive(spark):
+    """The most trusted feed is often wrong: by the rules its values survive, by the posterior those of the others."""
+    rng = random.Random(6)
+    rows, good = [], "A" * 14
+    for cluster in range(200):
+        for feed, right in (("a", 0.97), ("b", 0.95), ("c", 0.93), ("d", 0.4)):
+            wrong = "".join(rng.choice("CGT") for _ in range(14))
+            rows.append((len(rows), "j", f"@{cluster}", feed, None, good if rng.random() < right else wrong, "ACGTACGTACGT", "I", "A", 0))
+    feeds = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 9)], "feed string, trust int")
+    value = {r[0]: r[5] for r in rows}
+    by_rules = [r.fbc_ordinal for r in survivor.resolve(_reads(spark, rows), feeds).collect()]
+    assert all(rows[o][3] == "d" for o in by_rules)
+    likely = [r.fbc_ordinal for r in survivor.resolve(_reads(spark, rows), feeds, "posterior").collect()]
+    assert len(likely) == 200 and sum(value[o] == good for o in likely) >= 195
+    with pytest.raises(ValueError):
+        survivor.resolve(_reads(spark, rows), feeds, "chance")
+
+
 def test_distinct_counts(spark):
     rng = random.Random(5)
     rows = [(rng.choice([None, "", "hot", "hot", *map(str, range(90))]), rng.choice([None, "d1", "d2"]), rng.choice([None, "j", "k"]), 1) for _ in range(2000)]
